@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode
 from .chat import format_chats
+from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints
+from .minhash_dedup import near_dedup
 from .mixing import mix_sources
 from .token_counts import token_counts
 from .token_store import token_store
@@ -26,6 +29,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, with_counts=True, drop_text=True)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_read(spark, sf_dir, "conversations"))
 
@@ -34,11 +41,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_read(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix_sources, op4_chat_formatting, op6_byte_bpe, op8_token_store)
+    f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_exact_dedup, op4_chat_formatting, op6_byte_bpe, op7_minhash_dedup, op8_token_store, op10_fingerprints)
+}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        SELECT doc_id, text, lang, source, n_chars
+        FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS n FROM documents)
+        WHERE n = 1 OR text IS NULL""",
 }
-SQL: dict[str, str] = {}
