@@ -12,8 +12,10 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .minhash_dedup import near_dedup
 from .mixing import mix_sources
+from .substring_dedup import repeated_spans
 from .token_counts import token_counts
 from .token_store import token_store
+from .toxicity import toxic_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_read(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"))
 
@@ -49,13 +55,21 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mix_sources, op3_exact_dedup, op4_chat_formatting, op6_byte_bpe, op7_minhash_dedup, op8_token_store, op10_fingerprints)
-}
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_mix_sources, op3_exact_dedup, op4_chat_formatting, op5_toxicity,
+        op6_byte_bpe, op7_minhash_dedup, op8_token_store, op9_substring_dedup, op10_fingerprints,
+    )
+}
 SQL: dict[str, str] = {
     "op3_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars
