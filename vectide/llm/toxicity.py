@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,14 +137,14 @@ def split_words(text: str) -> list[str]:
 
 def _unlike(sets: list[list[str]]) -> list[int]:
     """The documents that share no band of min-wise hashes of their words with an earlier one."""
-    values, counts = shingles([" ".join(b) for b in sets], 1)
-    keys = band_keys(signatures(values, counts, 24, 1), 8).tolist()
     seen: set[int] = set()
     out = []
-    for i, own in enumerate(keys):
-        if seen.isdisjoint(own):
-            out.append(i)
-        seen.update(own)
+    for lo in range(0, len(sets), 256):
+        values, counts = shingles([" ".join(b) for b in sets[lo : lo + 256]], 1)
+        for i, own in enumerate(band_keys(signatures(values, counts, 24, 1), 8).tolist(), lo):
+            if seen.isdisjoint(own):
+                out.append(i)
+            seen.update(own)
     return out
 
 
@@ -288,10 +289,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     chosen = own.where("__toxic = 1").orderBy(key, "__id").limit(toxic_docs).union(own.where("__toxic = 0").orderBy(key, "__id").limit(clean_docs))
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text")).where(F.length("__text").between(1, longest))
-    found = rows.join(F.broadcast(chosen), "__id").collect()  # a sample of bounded size on either side
-    found.sort(key=lambda r: (r[0], r[1]))
-    one: dict[str, str] = {}
-    return train([[one.setdefault(w, w) for w in set(split_words(r[1]))] for r in found], [r[2] for r in found], seed=seed)
+    sample = rows.join(F.broadcast(chosen), "__id")  # of bounded size on either side
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["__id", "__text"], kind="stable")
+        one: dict[str, str] = {}
+        bags = [[one.setdefault(w, w) for w in set(split_words(t))] for t in frame["__text"]]
+        return pd.DataFrame({"model": [pickle.dumps(train(bags, frame["__toxic"].tolist(), seed=seed))]})
+
+    # Trained by one task on an executor; the driver gets one weight per triple.
+    made = sample.groupBy().applyInPandas(learn, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else train([], [])
 
 
 class _Scores(dict):
