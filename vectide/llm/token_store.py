@@ -62,10 +62,12 @@ def train_dictionary(docs: DataFrame, text_col: str = "text", vocab: str = DEFAU
 
     text = F.col(f"`{text_col}`").cast("string")
     order = F.xxhash64(text, F.lit(seed))
-    chosen = docs.select(order.alias("h"), text.alias("t")).where(F.length("t").between(1, longest)).orderBy("h", "t").limit(samples)
+    hashed = docs.select(order.alias("h"), text.alias("t")).where(F.length("t").between(1, longest))
+    least = [r.h for r in hashed.select("h").orderBy("h").limit(samples).collect()]  # hashes first, so that few texts travel
+    rows = hashed.where(F.col("h") <= least[-1]).orderBy("h", "t").collect() if least else []
     with open(vocab, "rb") as f:
         raw = f.read()
-    arrays = [serialise(x) for x in _ids([r.t for r in chosen.collect()], raw)]
+    arrays = [serialise(x) for x in _ids([r.t for r in rows[:samples]], raw)]
     arrays = [a[i : i + 4 * INDEX_EVERY] for a in arrays for i in range(0, min(len(a), 64 * INDEX_EVERY), 4 * INDEX_EVERY)]
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, arrays)) // 8)), arrays, level=3).as_bytes() if arrays else b""
