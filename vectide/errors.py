@@ -27,7 +27,7 @@ class DocumentNotFound(EngineError):
 
 class EmptyVector(EngineError):
     def __init__(self):
-        super().__init__("empty vector")
+        super().__init__("empty vector provided")
 
 
 class InvalidFilter(EngineError):

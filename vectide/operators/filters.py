@@ -44,14 +44,14 @@ def parse(spec: Any) -> Test | Group:
     for key, body in spec.items():
         if key in ("$and", "$or"):
             if not isinstance(body, list):
-                raise InvalidFilter(f"{key} must be an array")
+                raise InvalidFilter(f"{key} requires an array")
             parts.append(Group(key, tuple(map(parse, body))))
         elif isinstance(body, Mapping):
             for op, value in body.items():
                 if op not in _ALL:
                     raise InvalidFilter(f"unknown operator: {op}")
                 if op in _LISTS and not isinstance(value, list):
-                    raise InvalidFilter(f"{op} must be an array")
+                    raise InvalidFilter(f"{op} requires an array")
                 values.encode(value)
                 parts.append(Test(key, op, value))
         else:

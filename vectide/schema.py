@@ -31,7 +31,7 @@ def metric_name(text: str) -> str:
     try:
         return METRICS[text.lower()]
     except KeyError:
-        raise EngineError(f"unknown metric: {text}") from None
+        raise EngineError(f"unknown metric: '{text}' (one of: {', '.join(METRICS)})") from None
 
 
 def index_name(text: str) -> str:
@@ -39,7 +39,7 @@ def index_name(text: str) -> str:
     try:
         return INDEXES[text.lower()]
     except KeyError:
-        raise EngineError(f"unknown index type: {text}") from None
+        raise EngineError(f"unknown index: '{text}' (one of: {', '.join(INDEXES)})") from None
 
 
 @dataclass(frozen=True)

@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch, StorageError
 
 MARK = bytes.fromhex("56455856")
-HEADER = struct.Struct("<4sII4x")
+HEADER, HEADER_SIZE = "<4sII4x", 16
 
 
 def parse_header(raw: bytes) -> tuple[int, int]:
     """(dimension, count); short, foreign or truncated files are errors."""
-    if len(raw) < HEADER.size:
+    if len(raw) < HEADER_SIZE:
         raise StorageError("vector file is too short")
-    mark, dimension, count = HEADER.unpack_from(raw)
+    mark, dimension, count = struct.unpack_from(HEADER, raw)
     if mark != MARK:
         raise StorageError("not a vector file: wrong mark")
-    if len(raw) < HEADER.size + 4 * dimension * count:
+    if len(raw) < HEADER_SIZE + 4 * dimension * count:
         raise StorageError("vector file is truncated")
     return dimension, count
 
@@ -41,7 +41,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for content in frame["content"]:
                 dimension, count = parse_header(content)
-                m = np.frombuffer(content, "<f4", dimension * count, HEADER.size).reshape(count, dimension)
+                m = np.frombuffer(content, "<f4", dimension * count, HEADER_SIZE).reshape(count, dimension)
                 for lo in range(0, count, 10_000):
                     part = m[lo : lo + 10_000]
                     yield pd.DataFrame({"idx": np.arange(lo, lo + len(part)), "vector": list(part)})
@@ -53,7 +53,7 @@ def write_vectors(path: str, vectors: np.ndarray) -> None:
     """A vector file on the driver's disk."""
     m = np.asarray(vectors, "<f4")
     with open(path, "wb") as f:
-        f.write(HEADER.pack(MARK, m.shape[1], m.shape[0]))
+        f.write(struct.pack(HEADER, MARK, m.shape[1], m.shape[0]))
         f.write(m.tobytes())
 
 
@@ -64,10 +64,10 @@ def append_vectors(path: str, vectors: np.ndarray) -> list[int]:
         dimension, count = parse_header(f.read())
         if m.shape[1] != dimension:
             raise DimensionMismatch(dimension, m.shape[1])
-        f.seek(HEADER.size + 4 * dimension * count)
+        f.seek(HEADER_SIZE + 4 * dimension * count)
         f.write(m.tobytes())
         f.seek(0)
-        f.write(HEADER.pack(MARK, dimension, count + len(m)))
+        f.write(struct.pack(HEADER, MARK, dimension, count + len(m)))
     return list(range(count, count + len(m)))
 
 
@@ -77,7 +77,7 @@ def get_vector(path: str, idx: int) -> list[float] | None:
         dimension, count = parse_header(f.read())
         if not 0 <= idx < count:
             return None
-        f.seek(HEADER.size + 4 * dimension * idx)
+        f.seek(HEADER_SIZE + 4 * dimension * idx)
         return np.frombuffer(f.read(4 * dimension), "<f4").tolist()
 
 
