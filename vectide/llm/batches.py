@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that a Python worker handles at once.
 SLICE_CHARS = 1_000_000
@@ -48,8 +49,11 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vectide-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    void = [f.name for f in df.schema if f.dataType.typeName() == "void"]  # Parquet has no such type
+    df.withColumns({c: F.col(c).cast("string") for c in void}).write.option("compression", compression).parquet(path)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in void else f.dataType, f.nullable) for f in df.schema])
+    table = spark.read.schema(schema).parquet(path)
+    return table.withColumns({c: F.lit(None) for c in void}) if void else table
 
 
 def _is_scan(df: DataFrame) -> bool:
@@ -80,14 +84,41 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def positional(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """(df with its columns called c0, c1, ..., what a name is called there).
+
+    Names that differ in case only, or not at all, are told apart by place: the
+    first that is written alike counts, else the first whatever its case.
+    """
+    names = df.columns
+
+    def at(name: str) -> str:
+        found = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name!r} among {names}")
+        return f"c{found[0]}"
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), at
+
+
+def narrowed(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, list[T.StructField]]:
+    """(the columns of keep as k0, k1, ... and the text, as a string, as t; the fields of keep under their own names)."""
+    renamed, at = positional(df)
+    out = renamed.select(*[F.col(at(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.col(at(text_col)).cast("string").alias("t"))
+    return out, [T.StructField(c, f.dataType, True) for c, f in zip(keep, out.schema)]
+
+
+_held: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, release: Callable[[], object]) -> None:
+    """Called in a Python worker by the operator that uses it: what other operators cached there is let go."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    _held[owner] = release
 
 
-def map_text(df: DataFrame, text_col: str, schema: str, function: Callable[[pa.RecordBatch, int, list[str]], pa.RecordBatch], setup: Callable[[], None] | None = None) -> DataFrame:
+def map_text(df: DataFrame, text_col: str, schema: str | T.StructType, function: Callable[[pa.RecordBatch, int, list[str]], pa.RecordBatch]) -> DataFrame:
     """mapInArrow that hands `function` the batch's rows from `lo` on, with their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker's cache holds before it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Longer pieces aren't cached.
 CACHE_LENGTH = 64
 

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import map_text
+from .batches import claim, map_text, narrowed
 from .bpe import DEFAULT_VOCAB, id_cache, ship_vocab, vocab_bytes
 from .pretok import pretokenise, split_long
 
@@ -66,11 +67,12 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VOCAB,
     """
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("token_ids", "token_offsets", "round_trip")]
     raw = ship_vocab(docs.sparkSession, vocab)
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    ints = F.lit(None).cast("array<int>")
-    schema = narrow.select(*keep, ints.alias("token_ids"), ints.alias("token_offsets"), F.lit(True).alias("round_trip")).schema
+    narrow, kept = narrowed(docs, keep, text_col)
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*kept, T.StructField("token_ids", ints), T.StructField("token_offsets", ints), T.StructField("round_trip", T.BooleanType())])
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("ids", id_cache.cache_clear)
         ids, offsets, per_text = encode_texts(texts, raw.value)
         same = decode_ids(ids, raw.value) == "".join(texts).encode("utf-8")
         if same:
@@ -78,10 +80,10 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VOCAB,
         else:
             cuts = np.concatenate([[0], np.cumsum(per_text)])
             good = np.array([decode_ids(ids[a:b], raw.value) == t.encode("utf-8") for t, a, b in zip(texts, cuts, cuts[1:])], bool)
-        columns = [batch.column(c) for c in keep] + [_lists(ids, per_text), _lists(offsets, per_text), pa.array(good)]
+        columns = [*batch.columns[:-1], _lists(ids, per_text), _lists(offsets, per_text), pa.array(good)]
         return pa.RecordBatch.from_arrays(columns, names=[*keep, "token_ids", "token_offsets", "round_trip"])
 
-    return map_text(narrow, "__text", schema, run)
+    return map_text(narrow, "t", schema, run)
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "text", vocab: str = DEFAULT_VOCAB) -> DataFrame:

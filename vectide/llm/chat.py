@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import DEFAULT_VOCAB, ship_vocab
+from .batches import claim, positional
+from .bpe import DEFAULT_VOCAB, id_cache, ship_vocab
 from .byte_bpe import _lists, encode_texts
 
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -56,14 +57,16 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), voca
     empty table; other columns are ignored.  One shuffle, by conv_id.
     """
     raw = ship_vocab(turns.sparkSession, vocab)
-    turn = F.struct(F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    chats = turns.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    columns, at = positional(turns)
+    rows = columns.select(F.col(at("conv_id")).alias("conv_id"), F.struct(F.col(at("turn")).alias("turn"), F.col(at("role")).cast("string").alias("role"), F.col(at("text")).cast("string").alias("text")).alias("turn"))
+    chats = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     ints = "array<int>"
     schema = chats.select("conv_id", F.lit(None).cast(ints).alias("token_ids"), F.lit(None).cast("array<tinyint>").alias("loss_mask"), F.lit(0).alias("n_turns")).schema
     wanted = frozenset(learn)
 
     def run(batches):
         for batch in batches:
+            claim("ids", id_cache.cache_clear)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 chat = [[(t["role"] if t["role"] is not None else "user", t["text"] or "") for t in ts] for ts in part.column("turns").to_pylist()]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import sized, with_row_id, written
+from .batches import positional, sized, with_row_id, written
 from .fuse import FuseFilter, build
 
 #: Digests in one shard of a snapshot's filter.
@@ -54,10 +54,7 @@ def duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     digests found twice have their texts read again, and these are grouped by
     the text itself.
     """
-    if id_col in docs.columns:
-        order = F.col(f"`{id_col}`").cast("bigint")
-    else:
-        order = F.lit(None).cast("bigint")
+    order = F.col(f"`{id_col}`").cast("bigint")
     table = with_row_id(docs)
     text = F.col(f"`{text_col}`").cast("string")
     rows = written(table.where(text.isNotNull()).select("__file", "__row", order.alias("__id"), *digests(text)))
@@ -89,9 +86,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     table gives an empty table; other columns pass through, whatever their names.
     """
     names = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
-    table, later = duplicates(renamed, at[text_col], at.get(id_col, ""), shard_keys)
+    renamed, at = positional(docs)
+    table, later = duplicates(renamed, at(text_col), at(id_col), shard_keys)
     later = sized(later, 16)
     kept = table.join(later, (table["__file"] == later["__f"]) & (table["__row"] == later["__r"]), "left_anti")
     return kept.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

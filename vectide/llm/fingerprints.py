@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import positional
 from .near import Likeness, like_documents
 
 #: Similarity 0.7 of the sets of word pairs; 16 bands of 5 find 0.95 of the pairs at the threshold itself, 0.998 at 0.8.
@@ -25,7 +26,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     null, in matches too.  An empty table gives an empty table; other columns
     are left out.
     """
-    renamed = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"))
+    columns, at = positional(docs)
+    renamed = columns.select(F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
     found = like_documents(renamed, "__t", how, keep=["__id"], with_signature=True)
     ids = found.rows.select("nid", "__id")
     same = found.same

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import sized, written
+from .batches import positional, sized, written
 from .components import components
 from .near import Likeness, like_documents
 
@@ -28,10 +28,9 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     gives an empty table; other columns pass through, whatever their names.
     """
     names = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
-    order = F.col(at[id_col]).cast("bigint") if id_col in at else F.lit(None).cast("bigint")
-    found = like_documents(renamed.withColumn("__id", order), at[text_col], how, keep=["__id"])
+    renamed, at = positional(docs)
+    order = F.col(at(id_col)).cast("bigint")
+    found = like_documents(renamed.withColumn("__id", order), at(text_col), how, keep=["__id"])
     groups = written(components(found.pairs.select("a", "b").union(found.same)))
     ranked = found.rows.select("nid", "__id", "__file", "__row").join(sized(groups, 16), F.col("nid") == F.col("node"))
     least = ranked.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), "__id", "nid")).alias("least"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_text, sized, with_row_id, written
+from .batches import claim, map_text, positional, sized, with_row_id, written
 from .bpe import DEFAULT_VOCAB, ship_vocab, tiktoken_encoding
 
 #: Tokens of every source's budget that the dynamic program fits; the rest is taken evenly from all lengths.
@@ -93,6 +93,7 @@ def _with_tokens(docs: DataFrame, text_col: str, vocab: str, column: str, drop:
     schema = docs.select(*names, F.lit(0).cast("bigint").alias(column)).schema
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("tiktoken", tiktoken_encoding.cache_clear)
         encode = tiktoken_encoding(raw.value).encode_ordinary
         n = pa.array([len(encode(t)) for t in texts], pa.int64())
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], n], names=[*names, column])
@@ -129,15 +130,17 @@ def mix_sources(
     through, however they are called.
     """
     names = docs.columns
-    text, source = F.col(f"`{text_col}`").cast("string"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("null"))
-    keys = [F.col(f"`{k}`") for k in key_cols if k in names] or [text]
-    base = docs.select(
-        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)],
-        *([] if text_col in names and dict(docs.dtypes)[text_col] == "string" else [text.alias("__text")]),
+    renamed, place_of = positional(docs)
+    text_at = place_of(text_col)
+    text, source = F.col(text_at).cast("string"), F.coalesce(F.col(place_of(source_col)).cast("string"), F.lit("null"))
+    keys = [F.col(place_of(k)) for k in key_cols]
+    base = renamed.select(
+        *renamed.columns,
+        *([] if dict(renamed.dtypes)[text_at] == "string" else [text.alias("__text")]),
         source.alias("__source"),
         F.xxhash64(*keys, F.lit(seed)).alias("__hash"),
     )
-    at = "__text" if "__text" in base.columns else f"__c{names.index(text_col)}"
+    at = "__text" if "__text" in base.columns else text_at
     table = with_row_id(written(_with_tokens(base, at, vocab, "__tokens", drop_text or at == "__text")))
     hist = table.groupBy("__source", "__tokens").agg(F.count("*").alias("n"))
     hist = written(hist)
@@ -164,5 +167,5 @@ def mix_sources(
     rule = plan.where("take > 0").join(last, ["__source", "__tokens"], "left").select("__source", "__tokens", "last", (F.col("take") == F.col("n")).alias("every"))
     rule = sized(written(rule), 64)
     picked = table.join(rule, ["__source", "__tokens"]).where(F.col("every") | (place <= F.col("last")))
-    out = [F.col(f"__c{i}").alias(c) for i, c in enumerate(names) if not (with_counts and c == "n_tokens" or drop_text and c == text_col)]
+    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if not (with_counts and c == "n_tokens" or drop_text and f"c{i}" == text_at)]
     return picked.select(*out, *([F.col("__tokens").alias("n_tokens")] if with_counts else []))

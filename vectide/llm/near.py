@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_text, sized, with_row_id, written
+from .batches import claim, map_text, sized, with_row_id, written
 from .byte_bpe import _gather
 from .components import components
-from .shingles import band_keys, mix64, shingles, signatures
+from .shingles import band_keys, forget_powers, mix64, shingles, signatures
 
 #: Documents of a component that one task holds; larger components are checked block against block.
 BLOCK_DOCS = 8_000
@@ -190,6 +190,7 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
     schema = narrow.select(*names, *empty, F.lit(None).cast("array<bigint>").alias("keys"), *extra).schema
 
     def digest(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("near", forget_powers)
         values, counts = shingles(texts, how.width)
         sigs = signatures(values, counts, how.hashes, how.seed)
         place = np.arange(len(values), dtype=np.uint64) - np.repeat((np.cumsum(counts) - counts).astype(np.uint64), counts)
@@ -228,6 +229,7 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
     met = texts.select("root", "lo", "hi", "block", "nid", "__text").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "nid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near", forget_powers)
         for group in _groups(batches, ["root", "lo", "hi"]):
             lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
             side = None if lo == hi else (group.column("block").to_numpy() == hi).astype(np.int8)

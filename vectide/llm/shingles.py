@@ -35,6 +35,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of the lower-cased texts, words of each text); words are set apart by ASCII white space."""
     coded = [t.lower().encode("utf-8") for t in texts]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_text, with_row_id, written
+from .batches import claim, map_text, positional, with_row_id, written
 
 #: Bytes of a chunk on average; the hash sees WINDOW bytes; text without a cut is cut at LONGEST.
 AVERAGE, WINDOW, LONGEST = 32, 32, 1024
@@ -82,6 +82,7 @@ def _chunk_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     schema = narrow.select(*keep, *longs).schema
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("chunks", gear.cache_clear)
         where, start, words, chunks = chunk_texts([t.encode("utf-8") for t in texts])
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), np.int64).reshape(-1, 2)
@@ -94,7 +95,7 @@ def _chunk_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def _repeated(docs: DataFrame, text_col: str, id_col: str, keep: list[str]) -> DataFrame:
     """Chunks found in more than one row: (nid, id, columns of keep, start, end, words, first id, later)."""
-    renamed = docs.select(F.monotonically_increasing_id().alias("nid"), F.col(f"`{id_col}`").cast("bigint").alias("id"), *keep, F.col(f"`{text_col}`").alias("__t"))
+    renamed = docs.select(F.monotonically_increasing_id().alias("nid"), F.col(id_col).cast("bigint").alias("id"), *keep, F.col(text_col).alias("__t"))
     rows = _chunk_rows(renamed, "__t", ["nid", "id", *keep])
     of = Window.partitionBy("d1", "d2")
     rows = rows.withColumns({"lo": F.min("nid").over(of), "hi": F.max("nid").over(of), "least": F.min("id").over(of)}).where("lo < hi")
@@ -125,7 +126,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     with a null; first_ids leaves nulls out.  An empty table gives an empty
     table; other columns are ignored.
     """
-    spans = _runs(_repeated(docs, text_col, id_col, []), [], least_words)
+    renamed, at = positional(docs)
+    spans = _runs(_repeated(renamed, at(text_col), at(id_col), []), [], least_words)
     return spans.select(F.col("id").alias(id_col), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("words").alias("n_words"), F.col("firsts").alias("first_ids"), F.col("later").alias("is_later"))
 
 
@@ -136,9 +138,9 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Other columns pass through, whatever their names.
     """
     names = docs.columns
-    at = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
-    table = with_row_id(docs.toDF(*[f"c{i}" for i in range(len(names))]))
-    ids = table.select("__file", "__row", F.col(at[id_col]).alias("__id"), F.col(at[text_col]).alias("__t"))
+    renamed, at = positional(docs)
+    table = with_row_id(renamed)
+    ids = table.select("__file", "__row", F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
     chunks = _repeated(ids, "__t", "__id", ["__file", "__row"]).where("later")
     spans = _runs(chunks, ["__file", "__row"], least_words)
     cuts = written(spans.groupBy(F.col("__file").alias("__f"), F.col("__row").alias("__r")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
@@ -159,5 +161,5 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
         return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
 
-    text = F.when(F.col("cuts").isNull(), F.col(at[text_col])).otherwise(without(F.col(at[text_col]), F.col("cuts")))
-    return joined.select(*[(text if at[n] == at[text_col] and n == text_col else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
+    text = F.when(F.col("cuts").isNull(), F.col(at(text_col))).otherwise(without(F.col(at(text_col)), F.col("cuts")))
+    return joined.select(*[(text if f"c{i}" == at(text_col) else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])

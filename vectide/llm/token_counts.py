@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import map_text
+from .batches import claim, map_text, narrowed
 from .bpe import DEFAULT_VOCAB, count_cache, ship_vocab
 from .pretok import pretokenise, split_long
 
@@ -34,11 +34,12 @@ def token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
     """
     keep = [c for c in (["doc_id"] if keep is None else keep) if c != out_col]
     raw = ship_vocab(docs.sparkSession, vocab)
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = narrow.select(*keep, F.lit(0).cast("bigint").alias(out_col)).schema
+    narrow, kept = narrowed(docs, keep, text_col)
+    schema = T.StructType([*kept, T.StructField(out_col, T.LongType())])
 
     def count(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
-        columns = [batch.column(c) for c in keep] + [pa.array(count_texts(texts, raw.value))]
+        claim("counts", count_cache.cache_clear)
+        columns = [*batch.columns[:-1], pa.array(count_texts(texts, raw.value))]
         return pa.RecordBatch.from_arrays(columns, names=[*keep, out_col])
 
-    return map_text(narrow, "__text", schema, count)
+    return map_text(narrow, "t", schema, count)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import map_text
+from .batches import claim, map_text, narrowed
 from .bpe import DEFAULT_VOCAB, ship_vocab, tiktoken_encoding
 
 #: Ids between two entries of a document's offset index.
@@ -60,9 +61,8 @@ def train_dictionary(docs: DataFrame, text_col: str = "text", vocab: str = DEFAU
     """
     import zstandard
 
-    text = F.col(f"`{text_col}`").cast("string")
-    order = F.xxhash64(text, F.lit(seed))
-    hashed = docs.select(order.alias("h"), text.alias("t")).where(F.length("t").between(1, longest))
+    order = F.xxhash64("t", F.lit(seed))
+    hashed = narrowed(docs, [], text_col)[0].select(order.alias("h"), "t").where(F.length("t").between(1, longest))
     least = [r.h for r in hashed.select("h").orderBy("h").limit(samples).collect()]  # hashes first, so that few texts travel
     rows = hashed.where(F.col("h") <= least[-1]).orderBy("h", "t").collect() if least else []
     with open(vocab, "rb") as f:
@@ -115,10 +115,12 @@ def token_store(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VO
     if dictionary is None:
         dictionary = train_dictionary(docs, text_col, vocab)
     raw, shared, digest = ship_vocab(spark, vocab), spark.sparkContext.broadcast(dictionary), dictionary_hash(dictionary)
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = narrow.select(*keep, F.lit(0).cast("bigint").alias("n_tokens"), F.lit(b"").alias("payload"), F.lit(None).cast("array<int>").alias("frame_offsets"), F.lit("").alias("dict_hash")).schema
+    narrow, kept = narrowed(docs, keep, text_col)
+    types = (T.LongType(), T.BinaryType(), T.ArrayType(T.IntegerType()), T.StringType())
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in zip(names, types))])
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("tiktoken", tiktoken_encoding.cache_clear)
         arrays = _ids(texts, raw.value)
         packed = [pack(a, shared.value, level) for a in arrays]
         columns = [
@@ -127,9 +129,9 @@ def token_store(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VO
             pa.array([i for _, i in packed], pa.list_(pa.int32())),
             pa.array([digest] * len(texts), pa.string()),
         ]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns, names=[*keep, *names])
+        return pa.RecordBatch.from_arrays(batch.columns[:-1] + columns, names=[*keep, *names])
 
-    return map_text(narrow, "__text", schema, run)
+    return map_text(narrow, "t", schema, run)
 
 
 def read_tokens(stored: DataFrame, dictionary: bytes) -> DataFrame:

@@ -26,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import map_text
+from .batches import claim, map_text, narrowed, positional
 from .shingles import band_keys, shingles, signatures
 
 DECAY, SPAN, SYMBOLS = 0.7, 5, 32
@@ -35,7 +36,7 @@ DECAY, SPAN, SYMBOLS = 0.7, 5, 32
 ODD, RIDGE = 0.5, 0.3
 #: Longer words are scored by windows of so many symbols, half overlapping.
 WINDOW = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){2,}")
 
 
@@ -95,13 +96,13 @@ def _codes(symbols: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 def kernel_features(words: list[str]) -> np.ndarray:
     """Explicit features of short words: their kernel is the rows' inner product.  Long words count by their first window."""
     symbols, starts, lens = _symbols(words)
-    out = np.zeros((len(words), SYMBOLS**3), np.float32)
+    out = np.zeros((SYMBOLS**3, len(words)), np.float32)
     for n in range(3, WINDOW + 1):
         at = np.flatnonzero(np.minimum(lens, WINDOW) == n)
         if len(at):
             codes = _codes(symbols, starts[at], n)
-            np.add.at(out, (np.repeat(at, codes.shape[1]), codes.ravel()), np.tile(triples(n)[3], len(at)))
-    return out
+            np.add.at(out, (codes.ravel(), np.repeat(at, codes.shape[1])), np.tile(triples(n)[3], len(at)))
+    return out.T
 
 
 @dataclass
@@ -164,9 +165,14 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds:
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        za, wa = z[active], weight[active]
-        new = np.linalg.solve((za * wa[:, None]).T @ za + np.diag(penalty), za.T @ (wa * y[active]))
+        active = np.flatnonzero(y * (z @ w.astype(np.float32)) < 1)
+        left, right = np.diag(penalty), np.zeros(len(w))
+        for lo in range(0, len(active), 2048):  # so that only a slice of z is held as doubles
+            at = active[lo : lo + 2048]
+            za = z[at].astype(np.float64)
+            left += (za * weight[at, None]).T @ za
+            right += za.T @ (weight[at] * y[at])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -183,14 +189,14 @@ def _nystroem(landmarks: np.ndarray) -> np.ndarray:
 def _kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of each word (its first window) with each landmark."""
     symbols, starts, lens = _symbols(words)
-    table = np.ascontiguousarray(landmarks.T)
+    table = landmarks.T  # rows by triple, as kernel_features lays them out
     out = np.zeros((len(words), len(landmarks)), np.float32)
     size = np.minimum(lens, WINDOW)
     for n in range(3, WINDOW + 1):
         at = np.flatnonzero(size == n)
         weight = triples(n)[3]
-        for lo in range(0, len(at), 256):
-            some = at[lo : lo + 256]
+        for lo in range(0, len(at), 64):
+            some = at[lo : lo + 64]
             out[some] = np.einsum("btl,t->bl", table[_codes(symbols, starts[some], n)], weight, optimize=True)
     return out
 
@@ -225,7 +231,7 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
     given = {w: float(n) for w, n in blamed.items() if n >= sure}
     open_bags = [b for b in bad if not any(w in given for w in b)]
     positives = given or {w: float(n) for w, n in blamed.most_common(500)}
-    machine = never
+    machine, every = never, sorted(clean)
     hard: list[str] = []
     for step in range(rounds):
         words = sorted(positives)
@@ -233,12 +239,13 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
         top = sorted(words, key=lambda w: (-positives[w], w))[:half]
         chosen = top + hard[: half // 2] + [clean_words[i] for i in rng.permutation(len(clean_words))[: landmarks - len(top) - len(hard[: half // 2])]]
         feats = kernel_features(list(dict.fromkeys(chosen)))
-        feats = feats[np.abs(feats).sum(1) > 0]
+        if not (some := feats.any(axis=1)).all():
+            feats = np.ascontiguousarray(feats.T[:, some]).T
         root = _nystroem(feats)
         odd = [d for _ in range(3) for d in _disguised(top, rng)] if step else []
         sample = words + odd + clean_words + hard
-        z = _kernel(sample, feats).astype(np.float64) @ root
-        z = np.hstack([z, np.ones((len(z), 1))])
+        z = np.ones((len(sample), root.shape[1] + 1), np.float32)
+        np.matmul(_kernel(sample, feats), root.astype(np.float32), out=z[:, :-1])
         bad_ones = len(words) + len(odd)
         y = np.concatenate([np.ones(bad_ones), -np.ones(len(sample) - bad_ones)])
         share = np.sqrt(np.array([positives[w] for w in words]))
@@ -247,13 +254,13 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
         w = _svm(z, y, weight, ridge=RIDGE)
         machine = Machine((feats.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 0.0)
         # Blame what this finds in documents without a given word; keep the clean words that score high.
-        scored = dict(zip(blamed, machine.words(list(blamed)).tolist()))
+        asked = list({w for b in open_bags for w in b if w in blamed})
+        scored = dict(zip(asked, machine.words(asked).tolist()))
         found: Counter = Counter()
         for b in open_bags:
             found.update(w for w in b if scored.get(w, -1.0) > 0.5)
         positives = (given | {w: float(n) for w, n in found.items()}) or positives
-        every = sorted(clean)
-        got = machine.words(every)
+        got = np.concatenate([machine.words(every[lo : lo + 50_000]) for lo in range(0, len(every), 50_000)])
         hard = [every[i] for i in np.argsort(-got)[:2000]]
     best = [(float(machine.words(sets[i]).max()) if sets[i] else -np.inf, int(toxic[i])) for i in held]
     machine.cut = _cut(best)
@@ -284,14 +291,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     ids.  A document with several labels is toxic if one says so; rows with
     null ids, labels or texts are left out.
     """
-    own = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("__toxic"))
+    given, place = positional(labels)
+    own = given.select(F.col(place(id_col)).alias("__id"), F.col(place(label_col)).cast("int").alias("__toxic")).dropna().groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     key = F.xxhash64("__id", F.lit(seed))
     chosen = own.where("__toxic = 1").orderBy(key, "__id").limit(toxic_docs).union(own.where("__toxic = 0").orderBy(key, "__id").limit(clean_docs))
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text")).where(F.length("__text").between(1, longest))
+    rows = narrowed(docs, [id_col], text_col)[0].toDF("__id", "__text").where(F.length("__text").between(1, longest))
     sample = rows.join(F.broadcast(chosen), "__id")  # of bounded size on either side
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        claim("training", triples.cache_clear)
         frame = frame.sort_values(["__id", "__text"], kind="stable")
         one: dict[str, str] = {}
         bags = [[one.setdefault(w, w) for w in set(split_words(t))] for t in frame["__text"]]
@@ -332,9 +340,10 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))
     same = dict(docs.dtypes)[text_col] == "string"
     source = docs.select(*names) if same else docs.select(*names, F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = docs.select(*names, F.lit(0.0).cast("double").alias(score_col)).schema
+    schema = T.StructType([*docs.select(*names).schema, T.StructField(score_col, T.DoubleType(), True)])
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("toxicity", _scores.cache_clear)
         known = _scores(model.value)
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
@@ -363,14 +372,15 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     or for an empty table, the result is empty.
     """
     machine = fit(docs, labels, text_col, id_col, **how)
-    narrow = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    found = score(narrow, machine, "__text").where(F.col("toxicity") >= F.lit(machine.cut))
-    return found.select(id_col, F.lit(True).alias("toxic"), "toxicity")
+    found = score(narrowed(docs, [id_col], text_col)[0], machine, "t").where(F.col("toxicity") >= F.lit(machine.cut))
+    return found.select(F.col("k0").alias(id_col), F.lit(True).alias("toxic"), "toxicity")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the rows found toxic; rows without words stay; the columns are those of docs, whatever their names."""
     machine = fit(docs, labels, text_col, id_col, **how)
-    column = "__toxicity"
-    kept = score(docs, machine, text_col, column)
-    return kept.where(F.col(column).isNull() | (F.col(column) < F.lit(machine.cut))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    renamed, at = positional(docs)
+    kept = score(renamed, machine, at(text_col), "__toxicity")
+    clean = F.col("__toxicity").isNull() | (F.col("__toxicity") < F.lit(machine.cut))
+    return kept.where(clean).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
