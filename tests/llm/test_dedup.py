@@ -11,7 +11,7 @@ from vectide.llm import exact_dedup as exact
 from vectide.llm import fuse, near, shingles
 from vectide.llm.fingerprints import PRINT, fingerprints
 from vectide.llm.minhash_dedup import NEAR, near_dedup
-from vectide.llm.substring_dedup import chunk_texts, gear, gear_hashes, repeated_spans, substring_dedup
+from vectide.llm.substring_dedup import AVERAGE, chunk_texts, gear, gear_hashes, repeated_spans, substring_dedup
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 50_000])
@@ -202,7 +202,7 @@ def brute_chunks(data: bytes):
     g, cuts = gear().tolist(), {0, len(data)}
     for i in range(len(data)):
         h = sum(g[data[j]] << (i - j) for j in range(max(0, i - 31), i + 1)) % (1 << 32)
-        if h < (1 << 32) // 32:
+        if h < (1 << 32) // AVERAGE:
             c = i + 1
             while c < len(data) and data[c] & 0xC0 == 0x80:
                 c += 1
@@ -250,7 +250,7 @@ def test_repeated_passages(spark, make_text):
     text = dict(rows)
     for r in got:
         piece = text[r.doc_id].encode()[r.start_byte : r.end_byte].decode()
-        assert len(set(piece.split()) & set(planted[r.doc_id].split())) >= 0.9 * len(piece.split()) and r.n_words >= 12
+        assert len(set(piece.split()) & set(planted[r.doc_id].split())) >= 0.9 * len(piece.split()) and r.n_words >= 20
         assert r.doc_id - r.doc_id % 3 in r.first_ids and (r.is_later or r.doc_id % 3 == 0)
     clean = {r.doc_id: r.text for r in substring_dedup(df).collect()}
     for k, t in rows:
