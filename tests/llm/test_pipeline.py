@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from vectide.llm import bpe
+from vectide.llm.batches import drop_tables, tables_dir
 from vectide.llm.mixing import shares
 from vectide.llm.queries import QUERIES, SQL
 
@@ -90,6 +91,9 @@ def test_stages(spark, tmp_path):
         before = after
     run = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in run) == sorted(before)
+    drop_tables(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def test_odd_stages(spark, tmp_path):

@@ -45,10 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie in the shared folder."""
+    return f"{shared_dir(spark)}/vectide-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; for when the results that read them have been written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vectide-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     void = [f.name for f in df.schema if f.dataType.typeName() == "void"]  # Parquet has no such type
     df.withColumns({c: F.col(c).cast("string") for c in void}).write.option("compression", compression).parquet(path)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in void else f.dataType, f.nullable) for f in df.schema])

@@ -1,4 +1,4 @@
-"""Vectorised pre-tokenisation for byte-level BPE, without a regular expression.
+"""Vectorised pre-tokenisation for byte-level BPE, without a regular expression (classes are those of unicodedata).
 
 The public pattern of byte-level BPE vocabularies
 
