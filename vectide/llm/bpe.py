@@ -12,8 +12,10 @@ from pyspark.sql import SparkSession
 #: Public vocabulary of byte-level BPE as lines of "base64 rank".
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker's cache holds before it starts afresh.
-CACHE_PIECES = 250_000
+#: Pieces in either of the two generations of a worker's cache.
+CACHE_PIECES = 150_000
+#: Pieces of up to so many bytes are encoded by looking through their pairs, longer ones by the heap.
+SCAN_LENGTH = 32
 #: Longer pieces aren't cached.
 CACHE_LENGTH = 64
 
@@ -98,24 +100,49 @@ def count_piece(piece: bytes, ranks: dict[bytes, int]) -> int:
     return len(piece) - _merge(piece, ranks)[0]
 
 
+def _merge_scan(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same symbols by looking for the least rank each time, which is quicker for few pairs."""
+    get, none = ranks.get, 1 << 60
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != none:
+        i = pairs.index(least)
+        merged = parts[i] + parts[i + 1]
+        parts[i] = merged
+        del parts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(merged + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + merged, none)
+    return parts
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
+    if len(piece) <= SCAN_LENGTH:
+        return [ranks[s] for s in _merge_scan(piece, ranks)]
     return [ranks[s] for s in _merge(piece, ranks)[1] if s is not None]
 
 
 class _Cache(dict):
+    """Pieces to what is made of them; when full, what it holds becomes the older generation, from which hits come back."""
+
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict = {}
 
     def make(self, piece: bytes):
         raise NotImplementedError
 
     def __missing__(self, piece: str):
-        value = self.make(piece.encode("utf-8"))
+        value = self.older.pop(piece, None)
+        if value is None:
+            value = self.make(piece.encode("utf-8"))
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
+                self.older = self.copy()
                 self.clear()
             self[piece] = value
         return value
