@@ -242,7 +242,7 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
         if not (some := feats.any(axis=1)).all():
             feats = np.ascontiguousarray(feats.T[:, some]).T
         root = _nystroem(feats)
-        odd = [d for _ in range(3) for d in _disguised(top, rng)] if step else []
+        odd = [d for k in range(12) for d in _disguised(top if k < 3 else top[:32], rng)] if step else []
         sample = words + odd + clean_words + hard
         z = np.ones((len(sample), root.shape[1] + 1), np.float32)
         np.matmul(_kernel(sample, feats), root.astype(np.float32), out=z[:, :-1])
