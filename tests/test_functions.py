@@ -50,7 +50,7 @@ def test_names():
     for bad in (lambda: metric_name("manhattan"), lambda: index_name("tree"), lambda: CollectionConfig("a/b", 3), lambda: CollectionConfig("..", 3), lambda: CollectionConfig("a", 0)):
         with pytest.raises(EngineError):
             bad()
-    with pytest.raises(ValueError, match="unknown metric"):
+    with pytest.raises(ValueError, match="metric: 'x'"):
         metric_name("x")
 
 
@@ -80,8 +80,8 @@ def test_sql_functions(spark):
 
 def test_embedding_column(spark):
     class Lengths(EmbeddingFunction):
-        def embed(self, texts):
-            return [[float(len(t)), 1.0] for t in texts]
+        def embed(self, parts):
+            return [(float(len(t)), 1.0) for t in parts]
 
     df = spark.createDataFrame([("abc",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(Lengths().column(F.col("t"), 2)).collect()] == [[3.0, 1.0], None, [0.0, 1.0]]

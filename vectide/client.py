@@ -9,6 +9,10 @@ from urllib.error import HTTPError
 from urllib.parse import quote
 from urllib.request import Request, urlopen
 
+from .schema import DEFAULT_INDEX, DEFAULT_METRIC
+
+LOCAL = "http://localhost:8080"
+
 
 class ClientError(Exception):
     """The server refused; the message is "status: reason"."""
@@ -26,10 +30,10 @@ class RemoteCollection:
     def query(self, vector: Sequence[float], top_k: int = 10, filter: dict | None = None) -> list[dict]:
         return self._call("query", {"vector": vector, "top_k": top_k} | ({} if filter is None else {"filter": filter}))["results"]
 
-    def hybrid_query(self, vector: Sequence[float], query: str, top_k: int = 10, alpha: float = 0.5) -> list[dict]:
+    def hybrid_query(self, vector: Sequence[float], query: str, top_k=10, alpha=0.5) -> list[dict]:
         return self._call("hybrid", dict(vector=vector, query=query, top_k=top_k, alpha=alpha))["results"]
 
-    def keyword_search(self, query: str, top_k: int = 10) -> list[dict]:
+    def keyword_search(self, query, top_k=10) -> list[dict]:
         return self._call("keyword", dict(query=query, top_k=top_k))["results"]
 
     def delete(self, ids: Sequence[str]) -> list[bool]:
@@ -38,14 +42,14 @@ class RemoteCollection:
     def count(self) -> int:
         return self._call("count")["count"]
 
-    def __repr__(self) -> str:
-        return f"RemoteCollection(name='{self.name}')"
+    def __repr__(self):
+        return "RemoteCollection(name=%r)" % self.name
 
 
 class Client:
     """Speaks to a server; requests end after `timeout` seconds."""
 
-    def __init__(self, base_url: str = "http://localhost:8080", timeout: float = 30.0):
+    def __init__(self, base_url=LOCAL, timeout: float = 30.0):
         self.base_url, self.timeout = base_url.rstrip("/"), timeout
 
     def _call(self, method: str, path: str, body: Any = None) -> Any:
@@ -62,20 +66,23 @@ class Client:
                 pass
             raise ClientError(f"{e.code}: {text}") from None
 
-    def create_collection(self, name: str, dimension: int, metric: str = "cosine", index: str = "flat") -> RemoteCollection:
-        self._call("POST", "/collections", dict(name=name, dimension=dimension, metric=metric, index=index))
-        return RemoteCollection(self, name)
-
-    def get_collection(self, name: str) -> RemoteCollection:
-        """The collection of a name; whether there is one shows with the first call."""
-        return RemoteCollection(self, name)
+    def __repr__(self):
+        return "Client(base_url=%r)" % self.base_url
 
     def list_collections(self) -> list[str]:
         return self._call("GET", "/collections")["collections"]
 
-    def delete_collection(self, name: str) -> None:
+    def create_collection(self, name, dimension, metric=DEFAULT_METRIC, index=DEFAULT_INDEX) -> RemoteCollection:
+        self._call("POST", "/collections", dict(name=name, dimension=dimension, metric=metric, index=index))
+        return self.get_collection(name)
+
+    def delete_collection(self, name) -> None:
         self._call("DELETE", f"/collections/{quote(name, safe='')}")
 
+    def get_collection(self, name) -> RemoteCollection:
+        """The collection of a name; whether there is one shows with the first call."""
+        return RemoteCollection(self, name)
+
     def close(self) -> None:
         """Nothing is held between calls."""
 
@@ -85,5 +92,3 @@ class Client:
     def __exit__(self, *args: object) -> None:
         self.close()
 
-    def __repr__(self) -> str:
-        return f"Client(base_url='{self.base_url}')"

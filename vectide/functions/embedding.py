@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ class EmbeddingFunction(ABC):
     """Implement embed(); instances must pickle, since executors get a copy each."""
 
     @abstractmethod
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
         """One vector for each text."""
 
     def column(self, text: Column, batch: int = 256) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import InternalError
 from ..functions import values
 from ..operators import ann, bm25, filters, fusion, search
-from ..schema import ROWS, CollectionConfig, check_top_k, check_vector
+from ..schema import DEFAULT_INDEX, DEFAULT_METRIC, ROWS, CollectionConfig, check_top_k, check_vector
 from ..sources.files import shared_dir
 from ..sources.store import CollectionStore, DatabaseStore
 
@@ -35,8 +35,8 @@ class Collection:
     def dimension(self) -> int:
         return self.config.dimension
 
-    def __repr__(self) -> str:
-        return f"Collection(name='{self.name}')"
+    def __repr__(self):
+        return "Collection(name=%r)" % self.name
 
     def rows(self) -> DataFrame:
         """The live rows as a DataFrame."""
@@ -133,7 +133,7 @@ class Collection:
     def keyword_search(self, query: str, top_k: int = 10, variant: str = "reference", filter: Mapping[str, Any] | None = None) -> list[dict]:
         return _dicts(self.keyword_search_df(query, top_k, variant, filter))
 
-    def hybrid_query_df(self, vector: Sequence[float], query: str, top_k: int = 10, alpha: float = 0.5, variant: str = "reference", filter: Mapping[str, Any] | None = None) -> DataFrame:
+    def hybrid_query_df(self, vector: Sequence[float], query: str, top_k=10, alpha=0.5, variant: str = "reference", filter: Mapping[str, Any] | None = None) -> DataFrame:
         """(id, score, metadata) by fusing vector and keyword ranks, alpha being the vectors' weight; higher is better."""
         q, k = check_vector(vector, self.dimension), check_top_k(top_k)
         many = search.fetch_k(k)
@@ -144,7 +144,7 @@ class Collection:
         joined = rows.select("id", "metadata").join(F.broadcast(fused), "id")  # at most k rows are sent
         return joined.select("id", F.col("score").cast("float").alias("score"), "metadata", F.col("score").alias("__s")).orderBy(F.desc("__s"), "id").drop("__s")
 
-    def hybrid_query(self, vector: Sequence[float], query: str, top_k: int = 10, alpha: float = 0.5, variant: str = "reference", filter: Mapping[str, Any] | None = None) -> list[dict]:
+    def hybrid_query(self, vector: Sequence[float], query: str, top_k=10, alpha=0.5, variant: str = "reference", filter: Mapping[str, Any] | None = None) -> list[dict]:
         return _dicts(self.hybrid_query_df(vector, query, top_k, alpha, variant, filter))
 
     def batch_query_df(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
@@ -180,7 +180,7 @@ class Database:
         self._open: dict[str, Collection] = {}
         self._lock = threading.RLock()
 
-    def create_collection(self, name: str, dimension: int, metric: str = "cosine", index: str = "flat") -> Collection:
+    def create_collection(self, name, dimension, metric=DEFAULT_METRIC, index=DEFAULT_INDEX) -> Collection:
         with self._lock:
             self._open[name] = Collection(self._store.create(CollectionConfig(name, dimension, metric, index)))
             return self._open[name]

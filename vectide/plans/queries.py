@@ -163,7 +163,7 @@ def _add_filter(name: str, spec: dict[str, Any], where: str) -> None:
 
 
 for _name, _spec, _where in (
-    ("eq", {"lang": {"$eq": "en"}}, "lang = 'en'"),
+    ("eq", {"lang": {"$eq": "fr"}}, "lang = 'fr'"),
     ("eq_shorthand", {"lang": "de"}, "lang = 'de'"),
     ("ne_missing", {"toxic": {"$ne": 1}}, "toxic IS NULL OR toxic <> 1"),
     ("gt", {"n_chars": {"$gt": 2000}}, "n_chars > 2000"),
@@ -297,8 +297,8 @@ def _add_hybrid(alpha: float) -> None:
         return _scored(_hybrid(spark, sf_dir, alpha), "doc_id")
 
 
-for _alpha in (0.0, 0.25, 0.5, 0.75, 1.0):
-    _add_hybrid(_alpha)
+for _quarter in range(5):
+    _add_hybrid(_quarter / 4)
 
 
 @_query(_hybrid_sql(0.5, ", lang, source", "JOIN documents USING (doc_id)"))

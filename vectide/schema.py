@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .errors import DimensionMismatch, EmptyVector, EngineError
 
 METRICS = {"cosine": "cosine", "euclidean": "euclidean", "l2": "euclidean", "dot": "dot", "dot_product": "dot", "dotproduct": "dot", "ip": "dot"}
+DEFAULT_METRIC, DEFAULT_INDEX = "cosine", "flat"
 INDEXES = {"flat": "flat", "hnsw": "hnsw"}
 
 #: seq orders the writes of one id; the last wins.
