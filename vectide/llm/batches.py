@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_CHARS = 1_000_000
 #: A side of a join is broadcast up to this many bytes, counted, at most; beyond, the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Scans of fewer parts are dealt out to all cores before Python works on them.
+SMALL_PARTS = 8
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -129,6 +131,14 @@ def claim(owner: str, release: Callable[[], object]) -> None:
     _held[owner] = release
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is a scan of fewer than SMALL_PARTS parts (some 1 GB at most); else as it is."""
+    if not _is_scan(df):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_PARTS) else df
+
+
 def map_text(df: DataFrame, text_col: str, schema: str | T.StructType, function: Callable[[pa.RecordBatch, int, list[str]], pa.RecordBatch]) -> DataFrame:
     """mapInArrow that hands `function` the batch's rows from `lo` on, with their texts."""
 
@@ -137,4 +147,4 @@ def map_text(df: DataFrame, text_col: str, schema: str | T.StructType, function:
             for lo, texts in text_slices(batch.column(text_col)):
                 yield function(batch.slice(lo, len(texts)), lo, texts)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
