@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import positional
+from .batches import positional, sized, written
 from .near import Likeness, like_documents
 
 #: Similarity 0.7 of the sets of word pairs; 16 bands of 5 find 0.95 of the pairs at the threshold itself, 0.998 at 0.8.
@@ -28,18 +28,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     columns, at = positional(docs)
     renamed = columns.select(F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
-    found = like_documents(renamed, "__t", how, keep=["__id"], with_signature=True)
-    ids = found.rows.select("nid", "__id")
-    same = found.same
-    group = same.union(same.select("a", "a")).distinct()  # (first row, each row of its words)
-    left, right = group.toDF("a", "x"), group.toDF("b", "y")
-    pairs = found.pairs.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"), "jaccard")
-    alike = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
-    edges = pairs.union(alike)
-    both = edges.union(edges.select("b", "a", "jaccard"))
-    named = both.join(ids.select(F.col("nid").alias("b"), F.col("__id").alias("other")), "b")
+    found = like_documents(renamed, "__t", how, keep=["__id"], with_signature=True, carry="__id")
+    ids, same = found.rows.select("nid", "__id"), found.same
+    # (first row of some words, each row of them, its id): few, and sent to the pairs while they are.
+    member = same.union(same.select("a", "a")).distinct().toDF("a", "x")
+    group = written(ids.join(sized(written(member), 16), F.col("nid") == F.col("x")).select("a", "x", F.col("__id").alias("x_id")))
+    left, right = sized(group, 24), sized(group.toDF("b", "y", "y_id"), 24)
+    pairs = found.pairs.join(left, "a", "left").join(right, "b", "left")
+    ours = [F.when(F.col(m).isNull(), F.col(own)).otherwise(F.col(as_)).alias(own) for m, own, as_ in (("x", "a", "x"), ("y", "b", "y"), ("x", "a_id", "x_id"), ("y", "b_id", "y_id"))]
+    alike = group.join(sized(group.toDF("a", "y", "y_id"), 24), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_id").alias("a_id"), F.col("y_id").alias("b_id"), F.lit(1.0).alias("jaccard"))
+    edges = pairs.select(*ours, "jaccard").union(alike)
+    named = edges.select("a", F.col("b_id").alias("other"), "jaccard").union(edges.select("b", "a_id", "jaccard"))
     match = F.struct(F.col("other").alias(id_col), "jaccard")
     lists = named.groupBy("a").agg(F.sort_array(F.collect_list(match)).alias("matches")).withColumnRenamed("a", "nid")
     none = F.array().cast(lists.schema["matches"].dataType)
-    out = found.rows.select("nid", "__id", "sig").join(lists, "nid", "left")
-    return out.select(F.col("__id").alias(id_col), F.col("sig").alias("fingerprint"), F.coalesce("matches", none).alias("matches"))
+    # Rows without matches, which are most, need no join; the others' ids are sent to them while these are few.
+    matched = found.pairs.select("a").union(found.pairs.select("b")).union(same.select("a")).union(same.select("b")).distinct().toDF("nid")
+    matched = sized(written(matched), 8)
+    rows = found.rows.select("nid", "__id", "sig")
+    some = rows.join(matched, "nid", "left_semi").join(lists, "nid")
+    rest = rows.join(matched, "nid", "left_anti").withColumn("matches", none)
+    return some.unionByName(rest).select(F.col("__id").alias(id_col), F.col("sig").alias("fingerprint"), "matches")

@@ -170,7 +170,8 @@ class Found:
     """table: docs with row ids; rows: (nid, __file, __row, sig if wanted).
 
     same: (a, b), b a row of the same words as a, the first such; pairs: (a, b,
-    jaccard), a < b, verified pairs of rows that stand for themselves.
+    jaccard, a_id and b_id if carried), a < b, verified pairs of rows that stand
+    for themselves.
     """
 
     table: DataFrame
@@ -179,8 +180,11 @@ class Found:
     pairs: DataFrame
 
 
-def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str] = (), with_signature: bool = False, block_docs: int = BLOCK_DOCS) -> Found:
-    """Verified pairs of rows of docs; rows of the same words are linked to the first of them, which stands for all."""
+def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str] = (), with_signature: bool = False, carry: str | None = None, block_docs: int = BLOCK_DOCS) -> Found:
+    """Verified pairs of rows of docs; rows of the same words are linked to the first of them, which stands for all.
+
+    With carry, one of keep, pairs have that column of both rows as a_id and b_id.
+    """
     table = with_row_id(docs)
     text = F.col(f"`{text_col}`").cast("string")
     narrow = table.select("__file", "__row", *keep, text.alias("__text"))
@@ -225,8 +229,9 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
     member = member.select("node", F.col("root"), F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
     place = rows.select("nid", F.col("__file").alias("__f"), F.col("__row").alias("__r"))
     member = written(place.join(sized(written(member), 28), F.col("nid") == F.col("node")).drop("node"))
-    texts = table.select("__file", "__row", text.alias("__text")).join(sized(member, 44), (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")))
-    met = texts.select("root", "lo", "hi", "block", "nid", "__text").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "nid")
+    carried = [F.col(carry).alias("carry")] if carry else []
+    texts = table.select("__file", "__row", text.alias("__text"), *carried).join(sized(member, 44), (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")))
+    met = texts.select("root", "lo", "hi", "block", "nid", "__text", *(["carry"] if carry else [])).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "nid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near", forget_powers)
@@ -235,9 +240,15 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
             side = None if lo == hi else (group.column("block").to_numpy() == hi).astype(np.int8)
             nid = group.column("nid").to_numpy()
             i, j, s = check_group(group.column("__text").to_pylist(), side, how)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nid[i], nid[j])), pa.array(np.maximum(nid[i], nid[j])), pa.array(s)], names=["a", "b", "jaccard"])
-
-    pairs = met.mapInArrow(verify, "a bigint, b bigint, jaccard double")
+            a, b = np.where(nid[i] < nid[j], i, j), np.where(nid[i] < nid[j], j, i)
+            out = [pa.array(nid[a]), pa.array(nid[b]), pa.array(s)]
+            if carry:
+                ids = group.column("carry").combine_chunks()
+                out += [ids.take(pa.array(a)), ids.take(pa.array(b))]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "jaccard", "a_id", "b_id"][: len(out)])
+
+    kind = dict(table.dtypes)[carry] if carry else ""
+    pairs = met.mapInArrow(verify, "a bigint, b bigint, jaccard double" + (f", a_id {kind}, b_id {kind}" if carry else ""))
     return Found(table, rows, same, written(pairs))
 
 
