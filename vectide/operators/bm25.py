@@ -52,7 +52,8 @@ def search(docs: DataFrame, query: str, top_k: int | None, variant: str = "refer
     if not words:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
     terms = list(words)
-    found = scored.withColumn("__tokens", tokens(F.col(text)))
+    # The generator keeps the optimizer from repeating the tokens' expression for every word.
+    found = scored.select("*", F.explode(F.array(tokens(F.col(text)))).alias("__tokens"))
     counts = [_count(w, "__tokens").alias(f"__tf{i}") for i, w in enumerate(terms)]
     found = found.select("*", F.size("__tokens").cast("double").alias("__len"), *counts).drop("__tokens")
     spread = [(F.sum(f"__tf{i}") if variant == "reference" else F.sum(F.when(F.col(f"__tf{i}") > 0, 1.0).otherwise(0.0))).alias(f"__all{i}") for i in range(len(terms))]
