@@ -14,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import distances
+from ..schema import check_top_k
 from ..sources.files import Files
 from .search import nearest
 
 #: Tables of fewer rows are searched exactly.
 EXACT_BELOW = 100_000
+#: Rows, and queries, of a cell that meet in one task at most; more are split.
+BLOCK = 20_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -84,14 +87,78 @@ class AnnIndex:
 
     def cells(self, query: Sequence[float], probes: int | None = None) -> list[int]:
         q = np.asarray([query], np.float64)
-        d = distances(self.centroids, q if self.metric == "euclidean" else _unit(q), "euclidean")[:, 0]
-        return np.argsort(d, kind="stable")[: probes or self.probes].tolist()
+        return _by_nearness(q, self.centroids, self.metric)[0, : probes or self.probes].tolist()
 
     def search(self, query: Sequence[float], top_k: int, probes: int | None = None, vector: str = "vector", tie: str = "id") -> DataFrame:
         """nearest() among the rows of the cells nearest to query; other cells' files aren't read."""
         near = self.rows.where(F.col("cell").isin(self.cells(query, probes))).drop("cell")
         return nearest(near, query, top_k, self.metric, vector, tie)
 
+    def batch_search(self, queries: DataFrame, top_k: int, probes: int | None = None, row_id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
+        """(query_id, row id, score, rank from 1): search() for every row of queries; ties by row id.
+
+        Queries go to the cells that they read.  A cell's rows and queries meet in
+        blocks of about BLOCK by BLOCK, each searched by matrix products, and every
+        query's top_k of each block are shuffled.  Null vectors are left out.
+        """
+        k, spark, metric = check_top_k(top_k), self.rows.sparkSession, self.metric
+        types, asked_types = dict(self.rows.dtypes), dict(queries.dtypes)
+        schema = f"`{query_id}` {asked_types[query_id]}, `{row_id}` {types[row_id]}, score double"
+        if k == 0:
+            return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        shipped = spark.sparkContext.broadcast((self.centroids, probes or self.probes))
+
+        def route(batches):
+            centroids, most = shipped.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    order = _by_nearness(_matrix(part.column(1)), centroids, metric)[:, :most]
+                    own = pa.array(np.repeat(np.arange(len(order)), order.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(order.ravel().astype(np.int32))], names=["asked", "query", "cell"])
+
+        def match(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            rows = rows.sort_by("row")
+            keys, ids = rows.column("row").combine_chunks(), asked.column("asked").combine_chunks()
+            n, found = min(k, len(rows)), []
+            v, q = (_matrix(t.column(c).combine_chunks()) if len(t) else None for t, c in ((rows, "vector"), (asked, "query")))
+            for at in range(0, len(ids) if n else 0, 256):
+                d = distances(v, q[at : at + 256], metric).T
+                edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                less, ties = d < edge, d == edge
+                one, r = np.nonzero(less | ties & (ties.cumsum(1) <= n - less.sum(1, keepdims=True)))
+                found.append(pa.table([ids.take(pa.array(one + at)), keys.take(pa.array(r)), pa.array(d[one, r])], names=[query_id, row_id, "score"]))
+            return pa.concat_tables(found) if found else pa.table([ids[:0], keys[:0], pa.array([], pa.float64())], names=[query_id, row_id, "score"])
+
+        known = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("asked"), F.col(query_vector).cast("array<float>").alias("query"))
+        routed = known.mapInArrow(route, f"asked {asked_types[query_id]}, query array<float>, cell int")
+        rows = self.rows.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("row"), F.col(vector).alias("vector"), "cell")
+        row_blocks, query_blocks = _blocks(rows), _blocks(routed)
+        left = rows.withColumn("part", F.pmod(F.xxhash64("row"), row_blocks).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
+        right = routed.withColumn("turn", F.pmod(F.xxhash64("asked"), query_blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
+        by = ("cell", "part", "turn")
+        near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(match, schema)
+        order = Window.partitionBy(query_id).orderBy("score", row_id)
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _by_nearness(queries: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    """The cells from the nearest on, for each query."""
+    route = np.asarray(queries, np.float64)
+    return np.argsort(distances(route if metric == "euclidean" else _unit(route), centroids, "euclidean"), axis=1, kind="stable")
+
+
+def _blocks(rows: DataFrame) -> Column:
+    """How many blocks the rows of a cell make, by `cell`; at most 4,096 counts are read, and only large cells are written out."""
+    many = {r["cell"]: -(-r["count"] // BLOCK) for r in rows.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
+    if not many:
+        return F.lit(1)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("cell")], F.lit(1))
+
 
 def _fit_probes(points: np.ndarray, route: np.ndarray, centroids: np.ndarray, metric: str, recall: float, k: int) -> int:
     """Cells to read so that, of the sample's own neighbours, `recall` are found for 200 of its points."""

@@ -14,6 +14,8 @@ from ..schema import check_top_k
 
 #: Bytes of query vectors that are broadcast at most; more are searched in as many passes as needed.
 QUERY_BYTES = 32 << 20
+#: Rows by queries of one matrix product.
+PRODUCT = (4096, 512)
 
 
 def fetch_k(top_k: int) -> int:
@@ -47,8 +49,8 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, top_k: int, metric: str =
     """(query_id, row id, score, rank from 1) of the top_k rows nearest to each query; ties by row id.
 
     The queries are gathered, their size checked, and sent to where the rows
-    are; each batch of rows is one matrix product, of which every query's top_k
-    go on to a shuffle by query.  More queries than QUERY_BYTES allow are
+    are; batches of rows meet them in products of bounded size, of which every
+    query's top_k go on to a shuffle by query.  More queries than QUERY_BYTES allow are
     searched pass by pass.
     """
     k = check_top_k(top_k)
@@ -69,18 +71,19 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, top_k: int, metric: str =
         def run(batches, shipped=shipped):
             wanted, ids = shipped.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
+                for at in range(0, batch.num_rows, PRODUCT[0]):
+                    part = batch.slice(at, PRODUCT[0])
                     keys = part.column(0)
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                    d = distances(flat.reshape(part.num_rows, -1), wanted, metric)
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     n = min(k, part.num_rows)
-                    if n < part.num_rows:  # whatever ties with the n-th goes on as well
-                        edge = np.partition(d, n - 1, axis=0)[n - 1]
-                        r, q = np.nonzero(d <= edge)
-                    else:
-                        r, q = np.nonzero(np.ones_like(d, bool))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(r)), pa.array(d[r, q])], names=[query_id, row_id, "score"])
+                    for first in range(0, len(wanted), PRODUCT[1]):
+                        d = distances(flat, wanted[first : first + PRODUCT[1]], metric)
+                        if n < part.num_rows:  # whatever ties with the n-th goes on as well
+                            edge = np.partition(d, n - 1, axis=0)[n - 1]
+                            r, q = np.nonzero(d <= edge)
+                        else:
+                            r, q = np.nonzero(np.ones_like(d, bool))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), keys.take(pa.array(r)), pa.array(d[r, q])], names=[query_id, row_id, "score"])
 
         parts.append(rows.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<float>")).mapInArrow(run, schema))
     near = parts[0]

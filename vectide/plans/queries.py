@@ -124,19 +124,14 @@ def batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def knn_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query vector, the share of its ten nearest that the approximate index finds."""
+    """Of every vector, the share of its ten nearest that the approximate index finds."""
     rows = _vectors(spark, sf_dir)
     path = f"{shared_dir(spark)}/ann-{uuid.uuid4().hex}"
-    ann.AnnIndex.write(rows, path, "cosine", cells=16)
-    index = ann.AnnIndex.open(spark, path)
-    asked = rows.where("vec_id < 10").select("vec_id", "vector").collect()  # ten queries
-    found = None
-    for r in asked:
-        one = index.search(list(r.vector), 10, tie="vec_id").select(F.lit(r.vec_id).alias("query_id"), "vec_id")
-        found = one if found is None else found.union(one)
-    queries = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    ann.AnnIndex.write(rows, path, "cosine")
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    found = ann.AnnIndex.open(spark, path).batch_search(queries, 10, row_id="vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
     exact = search.batch_nearest(rows, queries, 10, "cosine", row_id="vec_id").select("query_id", "vec_id")
-    return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
 # -- filters
