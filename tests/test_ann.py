@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from vectide import Database
 from vectide.functions.distance import distances
 from vectide.operators import ann
 from vectide.plans import queries
@@ -42,3 +44,24 @@ def test_batches_find_what_single_searches_find(spark, tmp_path, monkeypatch, bl
         assert all(abs(ranked[j, k + 1] - np.sort(d[:, j])[k]) < 1e-6 for j in range(60) for k in range(7))
         assert [r.id for r in index.batch_search(asked.where("query_id = 3"), 7).orderBy("rank").collect()] == [r.id for r in index.search(m[3].tolist(), 8).where("id <> 'none'").limit(7).collect()]
     assert index.batch_search(asked, 0).collect() == [] and index.batch_search(asked.where("query_id > 99"), 3).collect() == []
+
+
+def test_collections_keep_recall_whatever_top_k_is(spark, monkeypatch):
+    monkeypatch.setattr(ann, "EXACT_BELOW", 1000)
+    m, rows = made(spark, 3000)
+    rows = rows.withColumn("metadata", F.to_json(F.struct((F.substring("id", 2, 9).cast("int") % 3).alias("third"))))
+    db = Database(spark=spark)
+    near, flat = (db.create_collection(name, 8, "euclidean", name) for name in ("hnsw", "flat"))
+    for c in (near, flat):
+        c.upsert_df(rows)
+    assert near._index() is not None and len(near._index().centroids) == 54
+    d = distances(m, m[:3], "euclidean")
+    for q in range(3):
+        for k in (10, 100, 1000, 4000):
+            got = near.query(m[q].tolist(), k)
+            assert len(got) == min(k, 3000)
+            edge = np.sort(d[:, q])[len(got) - 1]
+            assert np.mean([r["score"] <= edge + 1e-6 for r in got]) >= 0.9
+        for k in (10, 100):
+            some = [{r["id"] for r in c.query(m[q].tolist(), k, {"third": 1})} for c in (near, flat)]
+            assert len(some[0]) == len(some[1]) == k and len(some[0] & some[1]) >= 0.9 * k

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: rows parted by their nearest centroid, searches reading few parts.
 
 Scores of the rows returned are exact; which rows are found is approximate.  The
-number of parts read is fitted at build time to a recall that is asked for,
-measured on held-out rows.
+number of parts read is fitted at build time to a recall that is asked for, as
+a curve over how many rows are looked for, measured on rows of a sample.
 """
 
 from __future__ import annotations
@@ -47,16 +47,20 @@ def _cluster(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.
 
 @dataclass(frozen=True)
 class AnnIndex:
-    """rows: the table with its column `cell`, parted by it; centroids; how many cells a search reads."""
+    """rows: the table with its column `cell`, parted by it; centroids; rows in each cell; (share of the rows looked for, cells to read), growing."""
 
     rows: DataFrame
     centroids: np.ndarray
     metric: str
-    probes: int
+    sizes: np.ndarray
+    curve: list[tuple[float, int]]
 
     @staticmethod
     def write(rows: DataFrame, path: str, metric: str = "cosine", vector: str = "vector", cells: int | None = None, recall: float = 0.95, k: int = 10, sample: int = 20_000, seed: int = 17) -> None:
-        """Clusters a sample of at most `sample` rows, assigns every row to a cell, and writes the table parted by cell."""
+        """Clusters a sample of at most `sample` rows, assigns every row to a cell, and writes the table parted by cell.
+
+        The curve of cells to read begins at the k nearest of the sample.
+        """
         spark = rows.sparkSession
         total = rows.count()
         picked = rows.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector, F.lit(seed))).limit(sample).toPandas()
@@ -64,7 +68,7 @@ class AnnIndex:
         route = points if metric == "euclidean" else _unit(points)
         cells = cells or max(1, min(4096, int(math.sqrt(max(1, total)))))
         centroids = _cluster(route, cells, seed)
-        probes = _fit_probes(points, route, centroids, metric, recall, k)
+        curve = _fit_probes(points, route, centroids, metric, recall, k)
         shipped = spark.sparkContext.broadcast((centroids, metric))
         names = rows.columns
         schema = rows.withColumn("cell", F.lit(0)).schema
@@ -78,20 +82,31 @@ class AnnIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*names, "cell"])
 
         rows.mapInArrow(assign, schema).repartition("cell").write.partitionBy("cell").parquet(f"{path}/rows")
-        Files(spark).write(f"{path}/ann.json", json.dumps({"metric": metric, "probes": probes, "centroids": centroids.tolist()}))
+        sizes = np.zeros(len(centroids), np.int64)
+        for cell, n in spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count(vector)).collect():
+            sizes[cell] = n
+        Files(spark).write(f"{path}/ann.json", json.dumps({"metric": metric, "sizes": sizes.tolist(), "curve": curve, "centroids": centroids.tolist()}))
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> AnnIndex:
         meta = json.loads(Files(spark).read(f"{path}/ann.json"))
-        return AnnIndex(spark.read.parquet(f"{path}/rows"), np.array(meta["centroids"]), meta["metric"], meta["probes"])
+        return AnnIndex(spark.read.parquet(f"{path}/rows"), np.array(meta["centroids"]), meta["metric"], np.array(meta["sizes"]), [(share, n) for share, n in meta["curve"]])
+
+    def least(self, top_k: int, probes: int | None = None) -> tuple[int, int]:
+        """(cells, rows) that a search reads at the least: of rows twice top_k, should there be as many; probes, if given, decides alone."""
+        if probes:
+            return probes, 0
+        total = int(self.sizes.sum())
+        fitted = next((n for share, n in self.curve if share * total >= top_k), len(self.centroids))
+        return fitted, min(total, 2 * top_k)
 
-    def cells(self, query: Sequence[float], probes: int | None = None) -> list[int]:
-        q = np.asarray([query], np.float64)
-        return _by_nearness(q, self.centroids, self.metric)[0, : probes or self.probes].tolist()
+    def cells(self, query: Sequence[float], probes: int | None = None, top_k: int = 10) -> list[int]:
+        order = _by_nearness(np.asarray([query], np.float64), self.centroids, self.metric)
+        return order[0, : _reach(order, self.sizes, *self.least(top_k, probes))[0]].tolist()
 
     def search(self, query: Sequence[float], top_k: int, probes: int | None = None, vector: str = "vector", tie: str = "id") -> DataFrame:
         """nearest() among the rows of the cells nearest to query; other cells' files aren't read."""
-        near = self.rows.where(F.col("cell").isin(self.cells(query, probes))).drop("cell")
+        near = self.rows.where(F.col("cell").isin(self.cells(query, probes, top_k))).drop("cell")
         return nearest(near, query, top_k, self.metric, vector, tie)
 
     def batch_search(self, queries: DataFrame, top_k: int, probes: int | None = None, row_id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
@@ -106,16 +121,17 @@ class AnnIndex:
         schema = f"`{query_id}` {asked_types[query_id]}, `{row_id}` {types[row_id]}, score double"
         if k == 0:
             return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-        shipped = spark.sparkContext.broadcast((self.centroids, probes or self.probes))
+        shipped = spark.sparkContext.broadcast((self.centroids, self.sizes, self.least(k, probes)))
 
         def route(batches):
-            centroids, most = shipped.value
+            centroids, sizes, least = shipped.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    order = _by_nearness(_matrix(part.column(1)), centroids, metric)[:, :most]
-                    own = pa.array(np.repeat(np.arange(len(order)), order.shape[1]))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(order.ravel().astype(np.int32))], names=["asked", "query", "cell"])
+                    order = _by_nearness(_matrix(part.column(1)), centroids, metric)
+                    one, at_cell = np.nonzero(np.arange(order.shape[1]) < _reach(order, sizes, *least)[:, None])
+                    own = pa.array(one)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(order[one, at_cell].astype(np.int32))], names=["asked", "query", "cell"])
 
         def match(rows: pa.Table, asked: pa.Table) -> pa.Table:
             rows = rows.sort_by("row")
@@ -152,6 +168,11 @@ def _by_nearness(queries: np.ndarray, centroids: np.ndarray, metric: str) -> np.
     return np.argsort(distances(route if metric == "euclidean" else _unit(route), centroids, "euclidean"), axis=1, kind="stable")
 
 
+def _reach(order: np.ndarray, sizes: np.ndarray, cells: int, rows: int) -> np.ndarray:
+    """How many of each query's cells, in their order, are read: `cells`, and on until they hold `rows`."""
+    return np.clip((sizes[order].cumsum(1) < rows).sum(1) + 1, cells, order.shape[1]) if cells < order.shape[1] else np.full(len(order), order.shape[1])
+
+
 def _blocks(rows: DataFrame) -> Column:
     """How many blocks the rows of a cell make, by `cell`; at most 4,096 counts are read, and only large cells are written out."""
     many = {r["cell"]: -(-r["count"] // BLOCK) for r in rows.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
@@ -160,16 +181,19 @@ def _blocks(rows: DataFrame) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("cell")], F.lit(1))
 
 
-def _fit_probes(points: np.ndarray, route: np.ndarray, centroids: np.ndarray, metric: str, recall: float, k: int) -> int:
-    """Cells to read so that, of the sample's own neighbours, `recall` are found for 200 of its points."""
+def _fit_probes(points: np.ndarray, route: np.ndarray, centroids: np.ndarray, metric: str, recall: float, k: int) -> list[tuple[float, int]]:
+    """For the sample's k, 2 k, 4 k ... nearest: (their share of it, cells to read so that `recall` of them are found for 200 of its points)."""
     own = distances(route, centroids, "euclidean")
     cell = own.argmin(1)
     asked = np.linspace(0, len(points) - 1, min(200, len(points))).astype(int)
     d = distances(points, points[asked], metric)
-    near = np.argsort(d, axis=0)[1 : k + 1].T
+    near = np.argsort(d, axis=0)[1:].T
     rank = np.argsort(np.argsort(own[asked], axis=1), axis=1)
     needed = np.take_along_axis(rank, cell[near], axis=1) + 1
-    for probes in range(1, len(centroids) + 1):
-        if (needed <= probes).mean() >= recall:
-            return probes
-    return len(centroids)
+    curve, probes = [], 1
+    while k <= near.shape[1]:
+        found = np.bincount(needed[:, :k].ravel(), minlength=len(centroids) + 1).cumsum() / needed[:, :k].size
+        probes = max(probes, int(np.searchsorted(found, recall)))
+        curve.append((k / len(points), min(probes, len(centroids))))
+        k *= 2
+    return curve
