@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
 
+from .pretok import WHITE
+
 #: Public vocabulary of byte-level BPE as lines of "base64 rank".
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space that are taken out of what tiktoken's pattern sees: its look-ahead fails on a million and more.
+LONG_WHITE = 100_000
 #: Pieces in either of the two generations of a worker's cache.
 CACHE_PIECES = 150_000
 #: Pieces of up to so many bytes are encoded by looking through their pairs, longer ones by the heap.
@@ -50,6 +55,43 @@ def tiktoken_encoding(raw: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=parse_ranks(raw), special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _piece_encoding(raw: bytes):
+    """Takes the whole of a text as one piece."""
+    import tiktoken
+
+    return tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=parse_ranks(raw), special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def _long_white() -> re.Pattern:
+    white = "".join(map(chr, WHITE))
+    return re.compile(f"(?<![{white}])[{white}]{{{LONG_WHITE},}}")
+
+
+def forget_tiktoken() -> None:
+    tiktoken_encoding.cache_clear()
+    _piece_encoding.cache_clear()
+
+
+def tiktoken_ids(text: str, raw: bytes) -> list[int]:
+    """tiktoken's ids of a text with runs of white space of any length.
+
+    A long run is a piece, less its last character if more text follows, to
+    which that belongs; what comes before and after is cut as it would be whole.
+    """
+    encode = tiktoken_encoding(raw).encode_ordinary
+    if len(text) < LONG_WHITE:
+        return encode(text)
+    out, at = [], 0
+    for run in _long_white().finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encode(text[at : run.start()])
+        out += _piece_encoding(raw).encode_ordinary(text[run.start() : end])
+        at = end
+    return out + encode(text[at:])
+
+
 def _merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, list[bytes | None]]:
     """Pops the adjacent pair of lowest rank (leftmost of equals) until none is left.
 

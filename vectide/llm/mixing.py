@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import claim, map_text, positional, sized, with_row_id, written
-from .bpe import DEFAULT_VOCAB, ship_vocab, tiktoken_encoding
+from .bpe import DEFAULT_VOCAB, forget_tiktoken, ship_vocab, tiktoken_ids
 
 #: Tokens of every source's budget that the dynamic program fits; the rest is taken evenly from all lengths.
 DP_TOKENS = 1 << 15
@@ -93,9 +93,8 @@ def _with_tokens(docs: DataFrame, text_col: str, vocab: str, column: str, drop:
     schema = docs.select(*names, F.lit(0).cast("bigint").alias(column)).schema
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
-        claim("tiktoken", tiktoken_encoding.cache_clear)
-        encode = tiktoken_encoding(raw.value).encode_ordinary
-        n = pa.array([len(encode(t)) for t in texts], pa.int64())
+        claim("tiktoken", forget_tiktoken)
+        n = pa.array([len(tiktoken_ids(t, raw.value)) for t in texts], pa.int64())
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], n], names=[*names, column])
 
     return map_text(docs, text_col, schema, run)

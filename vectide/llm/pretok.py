@@ -23,7 +23,7 @@ import numpy as np
 
 SEP, L, N, P, SP, WM, WL, A1, A2 = range(9)
 S_FREE, S_L, S_N, S_P, S_J, S_W, S_C1, S_C2 = range(8)
-_WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BLOCK = 256
 
 
@@ -37,7 +37,7 @@ def codepoint_classes() -> np.ndarray:
             table[cp] = L
         elif major == "N":
             table[cp] = N
-    table[_WHITE] = WM
+    table[WHITE] = WM
     return table
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import claim, map_text, narrowed
-from .bpe import DEFAULT_VOCAB, ship_vocab, tiktoken_encoding
+from .bpe import DEFAULT_VOCAB, forget_tiktoken, ship_vocab, tiktoken_ids
 
 #: Ids between two entries of a document's offset index.
 INDEX_EVERY = 4096
@@ -27,8 +27,7 @@ def parse(raw: bytes) -> np.ndarray:
 
 
 def _ids(texts: list[str], vocab: bytes) -> list[np.ndarray]:
-    encode = tiktoken_encoding(vocab).encode_ordinary
-    return [np.array(encode(t), np.int64) for t in texts]
+    return [np.array(tiktoken_ids(t, vocab), np.int64) for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -120,7 +119,7 @@ def token_store(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VO
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in zip(names, types))])
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
-        claim("tiktoken", tiktoken_encoding.cache_clear)
+        claim("tiktoken", forget_tiktoken)
         arrays = _ids(texts, raw.value)
         packed = [pack(a, shared.value, level) for a in arrays]
         columns = [
