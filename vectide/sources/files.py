@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..errors import StorageError
 
 
 class Files:
@@ -54,19 +56,18 @@ class Files:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one that becomes the checkpoint folder."""
+    """The folder in spark.checkpoint.dir.
+
+    Where that is unset, a local session, as in tests, gets a new folder, which
+    becomes its checkpoint folder; on a cluster that is an error, since
+    a folder of one machine isn't shared.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise StorageError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vectide-shared-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, where its lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/vectide-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
