@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import shared_dir
+
 #: Characters of text that a Python worker handles at once.
 SLICE_CHARS = 1_000_000
 #: A side of a join is broadcast up to this many bytes, counted, at most; beyond, the join shuffles.
@@ -36,17 +37,6 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_CHARS) ->
         lo = hi
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vectide-shared-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
 def tables_dir(spark: SparkSession) -> str:
     """Where this application's intermediate tables lie in the shared folder."""
     return f"{shared_dir(spark)}/vectide-{spark.sparkContext.applicationId}"
@@ -92,6 +82,16 @@ def with_row_id(df: DataFrame, file_col: str = "__file", row_col: str = "__row")
     return with_row_id(written(df), file_col, row_col)
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row: breaks ties alike however the table is laid out."""
+
+    def plain(f: T.StructField) -> Column:
+        nested = any(k in f.dataType.simpleString() for k in ("map<", "variant"))
+        return F.to_json(F.struct(F.col(f"`{f.name}`"))) if nested else F.col(f"`{f.name}`")
+
+    return F.xxhash64(*[plain(f) for f in df.schema if f.dataType.typeName() != "void"], F.lit(1))
+
+
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcasting if its counted rows are small enough, else left to a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

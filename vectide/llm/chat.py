@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import claim, positional
+from .batches import SLICE_CHARS, claim, positional
 from .bpe import DEFAULT_VOCAB, id_cache, ship_vocab
 from .byte_bpe import _lists, encode_texts
 
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
+def quiet(said: str) -> str:
+    """What is said, with a blank put into marks of turns, so that no text can end its turn or begin another."""
+    return said.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>") if "<|im_" in said else said
+
+
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
     """(conversation as one text, sorted spans (first byte, end, role) of what each turn says, its end mark included)."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{HEAD}{role}{MIDDLE}", f"{text}{TAIL}"
+        head, body = f"{HEAD}{quiet(role)}{MIDDLE}", f"{quiet(text)}{TAIL}"
         start = at + len(head.encode("utf-8"))
         at = start + len(body.encode("utf-8"))
         spans.append((start, at, role))
@@ -46,12 +54,26 @@ def mask_tokens(offsets: np.ndarray, size: int, spans: list[tuple[int, int]]) ->
     return mask
 
 
+def _slices(batch: pa.RecordBatch, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Runs of conversations of about `most` bytes of text."""
+    turns = batch.column("turns")
+    said = turns.values.field("text")
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(said), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    size = ends[turns.offsets.to_numpy()]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """One row per conversation: conv_id, token_ids, loss_mask (1 on the turns of `learn`), n_turns.
 
     Turns are ordered by (turn, role, text), nulls first, so that repeated turn
     numbers have one order; rows that repeat stay repeated.  A null role reads as
-    'user', a null text as ''.  Rows without conv_id belong to no conversation
+    'user', a null text as ''.  Marks of turns within a text or role are broken up
+    by a blank (see quiet).  Rows without conv_id belong to no conversation
     and are left out.  Long conversations are encoded whole.  A conversation
     without a turn of `learn` has a mask of zeros.  An empty table gives an
     empty table; other columns are ignored.  One shuffle, by conv_id.
@@ -67,8 +89,7 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), voca
     def run(batches):
         for batch in batches:
             claim("ids", id_cache.cache_clear)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in _slices(batch):
                 chat = [[(t["role"] if t["role"] is not None else "user", t["text"] or "") for t in ts] for ts in part.column("turns").to_pylist()]
                 done = [render(c) for c in chat]
                 ids, offsets, counts = encode_texts([text for text, _ in done], raw.value)

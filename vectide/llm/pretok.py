@@ -1,4 +1,4 @@
-"""Vectorised pre-tokenisation for byte-level BPE, without a regular expression (classes are those of unicodedata).
+"""Vectorised pre-tokenisation for byte-level BPE, without a regular expression (classes are those of Unicode 16).
 
 The public pattern of byte-level BPE vocabularies
 
@@ -16,11 +16,12 @@ state before it and whether a piece begins there.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
+from .unicode_classes import letters, numbers
+
 SEP, L, N, P, SP, WM, WL, A1, A2 = range(9)
 S_FREE, S_L, S_N, S_P, S_J, S_W, S_C1, S_C2 = range(8)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -31,12 +32,9 @@ _BLOCK = 256
 def codepoint_classes() -> np.ndarray:
     """Class of every code point before look-ahead: L, N, P, or WM for white space."""
     table = np.full(sys.maxunicode + 1, P, np.uint8)
-    for cp in range(sys.maxunicode + 1):
-        major = unicodedata.category(chr(cp))[0]
-        if major == "L":
-            table[cp] = L
-        elif major == "N":
-            table[cp] = N
+    for runs, cls in ((letters(), L), (numbers(), N)):
+        for lo, hi in runs.tolist():
+            table[lo:hi] = cls
     table[WHITE] = WM
     return table
 

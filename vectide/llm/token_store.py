@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .batches import claim, map_text, narrowed
 from .bpe import DEFAULT_VOCAB, forget_tiktoken, ship_vocab, tiktoken_ids
+from .shingles import mix64
 
 #: Ids between two entries of a document's offset index.
 INDEX_EVERY = 4096
@@ -51,27 +52,39 @@ def dictionary_hash(dictionary: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(dictionary)
 
 
-def train_dictionary(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VOCAB, samples: int = 2000, longest: int = 100_000, size: int = 64 << 10, seed: int = 7) -> bytes:
-    """A zstandard dictionary fitted on the id arrays of a sample: of texts up to `longest`, those of the `samples` least seeded hashes.
+def train_dictionary(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VOCAB, samples: int = 2000, frames: int = 8, size: int = 64 << 10, seed: int = 7) -> bytes:
+    """A zstandard dictionary fitted on the id arrays of a sample: `frames` frames of each of `samples` distinct texts.
 
-    The sample's bounds are parameters since a dictionary is a model of 64 KB;
-    they change sizes, never results.  Where there is too little to train on the
-    dictionary is empty, and frames are compressed without one.
+    The texts are those of the least seeded hashes among what about four times
+    `samples` rows hold, and of long ones those frames are taken whose numbers hash lowest.  The bounds are
+    parameters since a dictionary is a model of 64 KB; they change sizes, never
+    results.  One task on an executor trains; the driver gets the dictionary.  Where
+    there is too little to train on it is empty, and frames are compressed
+    without one.
     """
-    import zstandard
-
-    order = F.xxhash64("t", F.lit(seed))
-    hashed = narrowed(docs, [], text_col)[0].select(order.alias("h"), "t").where(F.length("t").between(1, longest))
-    least = [r.h for r in hashed.select("h").orderBy("h").limit(samples).collect()]  # hashes first, so that few texts travel
-    rows = hashed.where(F.col("h") <= least[-1]).orderBy("h", "t").collect() if least else []
-    with open(vocab, "rb") as f:
-        raw = f.read()
-    arrays = [serialise(x) for x in _ids([r.t for r in rows[:samples]], raw)]
-    arrays = [a[i : i + 4 * INDEX_EVERY] for a in arrays for i in range(0, min(len(a), 64 * INDEX_EVERY), 4 * INDEX_EVERY)]
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, arrays)) // 8)), arrays, level=3).as_bytes() if arrays else b""
-    except zstandard.ZstdError:
-        return b""
+    hashed = narrowed(docs, [], text_col)[0].select(F.xxhash64("t", F.lit(seed)).alias("h"), "t").where(F.length("t") > 0)
+    share = min(1.0, 4 * samples / max(1, docs.count()))
+    below = hashed.where(F.col("h") <= F.lit(min((1 << 63) - 1, int((share * 2 - 1) * (1 << 63)))).cast("bigint"))
+    sample = below.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(samples)
+    raw = ship_vocab(docs.sparkSession, vocab)
+
+    def train(batches):
+        import zstandard
+
+        arrays: list[bytes] = []
+        for batch in batches:
+            for ids in _ids(batch.column(0).to_pylist(), raw.value):
+                starts = np.arange(0, len(ids), INDEX_EVERY)
+                chosen = starts[np.sort(np.argsort(mix64(starts.astype(np.uint64) + np.uint64(seed)), kind="stable")[:frames])]
+                arrays += [serialise(ids[i : i + INDEX_EVERY]) for i in chosen.tolist()]
+        try:
+            made = zstandard.train_dictionary(min(size, max(1024, sum(map(len, arrays)) // 8)), arrays, level=3).as_bytes() if arrays else b""
+        except zstandard.ZstdError:
+            made = b""
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["dictionary"])
+
+    found = sample.repartition(1).sortWithinPartitions("h").select("t").mapInArrow(train, "dictionary binary").collect()
+    return max((bytes(r[0]) for r in found), key=len, default=b"")
 
 
 def pack(ids: np.ndarray, dictionary: bytes, level: int = 3) -> tuple[bytes, list[int]]:
@@ -104,8 +117,9 @@ def token_store(docs: DataFrame, text_col: str = "text", vocab: str = DEFAULT_VO
     payload holds zstandard frames of INDEX_EVERY ids, so that a short document
     is one frame, read by itself; frame_offsets tell where each begins, for
     reading part of a long one.  All frames need the dictionary whose hash is
-    dict_hash.  Null and empty texts have no frame; repeated rows are stored
-    each; an empty table gives an empty table.  Columns of `keep` that are
+    dict_hash.  Without a dictionary one is trained (see train_dictionary).
+    Null and empty texts have no frame; texts of any length are stored whole;
+    repeated rows are stored each, and there are no ties to break; an empty table gives an empty table.  Columns of `keep` that are
     called like a result are replaced by it.
     """
     names = ["n_tokens", "payload", "frame_offsets", "dict_hash"]
