@@ -53,6 +53,21 @@ def test_exact_dedup(spark, odd, empty, make_text):
     assert exact.exact_dedup(empty).collect() == []
 
 
+def test_ids_of_other_types_and_equal_ids(spark):
+    rows = [("doc-10", "a", 1), ("doc-9", "a", 2), (None, "a", 3), ("doc-9", "b", 4), ("doc-9", "b", 5), (None, "c", 6), (None, "c", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, k int")
+    kept = [sorted((r.k for r in exact.exact_dedup(d).collect())) for d in (df, df.repartition(3), df.coalesce(1).orderBy("k", ascending=False))]
+    assert kept[0] == kept[1] == kept[2] and 1 in kept[0] and len(kept[0]) == 3
+    near_kept = [sorted((r.k for r in near_dedup(d).collect())) for d in (df, df.repartition(3))]
+    assert near_kept[0] == near_kept[1] and 1 in near_kept[0] and len(near_kept[0]) == 3
+
+
+def test_hot_texts_are_merged_before_they_meet(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a line that a third of all rows hold', concat('text ', id)) AS text")
+    kept = exact.exact_dedup(df)
+    assert kept.count() == 40_001 and kept.where("doc_id = 0").count() == 1
+
+
 def test_equal_digests_are_not_enough(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -75,3 +75,18 @@ def test_odd_rows(odd, empty):
     part = mix_sources(odd, budget_tokens=8).collect()
     assert {r.doc_id for r in part if not r.text} == {3, 4, 5} and all(r.n_tokens == r.nid for r in part)
     assert mix_sources(empty).collect() == [] and mix_sources(empty, drop_text=True, with_counts=True).columns == ["doc_id", "source", "n_tokens"]
+
+
+def test_a_group_of_equal_lengths_is_cut_by_ranges(spark):
+    """Of one source and length: many rows, some of which repeat; as many are taken as the budget pays for, by least hash."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.when(F.col("id") < 20_000, F.col("id").cast("string")).otherwise(F.lit("again")).alias("doc_id"), F.lit("ten little words").alias("text"), F.lit("hot").alias("source"))
+    each = tokens("ten little words")
+    hashed = sorted(r.h for r in docs.select(F.xxhash64("doc_id", "text", F.lit(7)).alias("h")).collect())
+    one = docs.where("doc_id = 'again'").select(F.xxhash64("doc_id", "text", F.lit(7))).first()[0]
+    low = hashed.index(one)
+    for n in (1, 300, low, low + 1, low + 4321, low + 10_000, 29_999):
+        got = mix_sources(docs, budget_tokens=n * each)
+        have = sorted(r.h for r in got.select(F.xxhash64("doc_id", "text", F.lit(7)).alias("h")).collect())
+        assert have == hashed[:n]

@@ -100,6 +100,27 @@ def _with_tokens(docs: DataFrame, text_col: str, vocab: str, column: str, drop:
     return map_text(docs, text_col, schema, run)
 
 
+def _cut_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(columns of by, value, take, n): the value at which `take` of a group's n rows, in the order of `value`, are reached.
+
+    take and n, columns of rows, come back as how many of the n rows with that very
+    value are to be taken.  Values, which are hashes, are counted by ranges
+    first, as many as give some 256 rows each, and 65,536 at most, so that only one
+    range of a group is ordered, and a group of any size is counted by many tasks.
+    """
+    bits = F.least(F.lit(16), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / 256)))).cast("int")
+    # Shifted by what depends on the group: a power of two as divisor does the same.
+    ranged = rows.select(*by, value, "take", F.floor(F.col(value) / F.pow(F.lit(2.0), 64 - bits)).cast("bigint").alias("__range"))
+    ranges = ranged.groupBy(*by, "take", "__range").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*by).orderBy("__range"))
+    cut = ranges.withColumn("before", up_to - F.col("n")).where("before < take and take <= before + n").select(*by, "__range", (F.col("take") - F.col("before")).alias("take"))
+    inside = ranged.drop("take").join(sized(written(cut), 64), [*by, "__range"])
+    values = inside.groupBy(*by, "take", F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*by).orderBy("value"))
+    found = values.withColumn("before", up_to - F.col("n")).where("before < take and take <= before + n")
+    return written(found.select(*by, "value", (F.col("take") - F.col("before")).alias("take"), "n"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -119,14 +140,14 @@ def mix_sources(
     The budget is budget_tokens, or budget_fraction of the table's tokens.
     shares() divides it, equally without weights; fit_subset() says how many
     documents of each exact length a source gives; those of the least seeded
-    hash of key_cols are taken, equal ones in the order of the table.  Returns
+    hash of key_cols are taken, equal ones by a hash of their place.  Returns
     docs' columns (and n_tokens, with_counts; without the text, with drop_text).
 
     A null source is a source of its own, 'null' among weights.  Null and empty
     texts have no tokens: they cost nothing and are kept where their source has
-    any share.  Repeated rows are each a document.  Ties are broken by place in
-    the table.  An empty table gives an empty table.  Other columns pass
-    through, however they are called.
+    any share.  Texts of any length are counted whole.  Repeated rows are each a
+    document; ids may be of any type.  An empty table gives an empty table.
+    Other columns pass through, however they are called.
     """
     names = docs.columns
     renamed, place_of = positional(docs)
@@ -157,14 +178,18 @@ def mix_sources(
         return pd.DataFrame({"__source": pdf["__source"], "__tokens": lens, "take": take, "n": have})
 
     plan = written(hist.groupBy("__source").applyInPandas(fit, "__source string, __tokens bigint, take bigint, n bigint"))
-    # Per source and length: all, none, or those up to the last (hash, place) that is taken.
-    place = F.struct("__hash", "__file", "__row")
-    some = plan.where("take > 0 and take < n").select("__source", "__tokens", "take")
-    narrow = table.select("__source", "__tokens", "__hash", "__file", "__row").join(some, ["__source", "__tokens"])
-    rank = F.row_number().over(Window.partitionBy("__source", "__tokens").orderBy("__hash", "__file", "__row"))
-    last = narrow.withColumn("rank", rank).where("rank = take").select("__source", "__tokens", place.alias("last"))
-    rule = plan.where("take > 0").join(last, ["__source", "__tokens"], "left").select("__source", "__tokens", "last", (F.col("take") == F.col("n")).alias("every"))
-    rule = sized(written(rule), 64)
-    picked = table.join(rule, ["__source", "__tokens"]).where(F.col("every") | (place <= F.col("last")))
+    # Per source and length: all, none, or those up to the last (hash, hash of the place) that is taken.
+    narrow = table.select("__source", "__tokens", "__hash", F.xxhash64("__file", "__row").alias("__at"))
+    some = plan.where("take > 0 and take < n").select("__source", "__tokens", "take", "n")
+    length = ["__source", "__tokens"]
+    last = _cut_values(narrow.join(sized(written(some), 64), length), length, "__hash").withColumnRenamed("value", "last")
+    torn = last.where("take < n")  # only rows that repeat have equal hashes
+    within = narrow.join(sized(written(torn), 72), length).where("__hash = last").select(*length, "__at", "take", "n")
+    last = last.select(*length, "last").join(_cut_values(within, length, "__at").select(*length, F.col("value").alias("last_at")), length, "left")
+    rule = plan.where("take > 0").join(last, length, "left").select(*length, "last", "last_at", (F.col("take") == F.col("n")).alias("every"))
+    rule = sized(written(rule), 72)
+    place = F.xxhash64("__file", "__row")
+    taken = F.col("every") | (F.col("__hash") < F.col("last")) | ((F.col("__hash") == F.col("last")) & (F.col("last_at").isNull() | (place <= F.col("last_at"))))
+    picked = table.join(rule, length).where(taken)
     out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if not (with_counts and c == "n_tokens" or drop_text and f"c{i}" == text_at)]
     return picked.select(*out, *([F.col("__tokens").alias("n_tokens")] if with_counts else []))

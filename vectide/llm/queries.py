@@ -27,8 +27,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs, with_counts=True, drop_text=True)
+    return mix_sources(_read(spark, sf_dir, "documents"), with_counts=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
