@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm.batches import shared_dir
+from vectide.llm.batches import tables_dir
 from vectide.llm.byte_bpe import encode
 from vectide.llm.exact_dedup import exact_dedup
 from vectide.llm.minhash_dedup import near_dedup
@@ -53,10 +53,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what lies between them is written to the shared folder."""
+    """All stages over the documents of sf_dir; what lies between them is written to the shared folder.
+
+    Those tables go with drop_tables(), once the result has been written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{tables_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
