@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from vectide.llm import components as cc
 from vectide.llm import exact_dedup as exact
 from vectide.llm import fuse, near, shingles
-from vectide.llm.fingerprints import PRINT, fingerprints
+from vectide.llm.fingerprints import PRINT, fingerprints, similar_pairs
 from vectide.llm.minhash_dedup import NEAR, near_dedup
 from vectide.llm.substring_dedup import AVERAGE, chunk_texts, gear, gear_hashes, repeated_spans, substring_dedup
 
@@ -79,13 +79,13 @@ def test_equal_digests_are_not_enough(spark, monkeypatch):
 def brute_sets(texts, width=2):
     out = []
     for t in texts:
-        w = (t or "").lower().split()
+        w = "".join(f" {c} " if "\u3040" <= c < "\ua000" else c for c in (t or "").lower()).split()
         out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     return out
 
 
 def test_shingles():
-    texts = ["", " ", "One", "one", "a b", "A  b\n", "a b c a b c", "x " * 500]
+    texts = ["", " ", "One", "one", "a b", "A  b\n", "a b c a b c", "x " * 500, "a\u00a0b\u3000c", "\u4e2d\u6587 a\u4e2d", "\u4e2d a", "\u00e9\U0001f600x \u2003y"]
     for width in (1, 2, 3):
         mine, brute = shingles.shingle_sets(texts, width), brute_sets(texts, width)
         assert list(map(len, mine)) == list(map(len, brute))
@@ -140,16 +140,28 @@ def brute_pairs(rows, t):
     return {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
 
 
-def test_fingerprints_find_all_pairs(copies):
+def test_fingerprints_count_all_links(copies):
     df, rows = copies
-    want = brute_pairs(rows, PRINT.threshold)
+    text = {i: (t or "").lower() for i, t in rows}
+    sets = dict(zip(text, brute_sets([t for _, t in rows])))
+    least = {}
+    for i in sorted(text):
+        least.setdefault(" ".join(text[i].split()) or i, i)
+    name = {i: least[" ".join(t.split()) or i] for i, t in text.items()}
+    want = {p for p in brute_pairs(rows, PRINT.threshold) if name[p[0]] == p[0] and name[p[1]] == p[1]}
     got = fingerprints(df).collect()
-    assert len(got) == len(rows) and all(len(r.fingerprint) == (4 * PRINT.hashes if (dict(rows)[r.doc_id] or "").split() else 0) for r in got)
-    have = {(r.doc_id, m.doc_id) for r in got for m in r.matches}
-    assert all((b, a) in have for a, b in have)
-    assert {(min(p), max(p)) for p in have} <= want and len({(min(p), max(p)) for p in have}) >= 0.97 * len(want)
-    sets = dict(zip([i for i, _ in rows], brute_sets([x for _, x in rows])))
-    assert all(m.jaccard == len(sets[r.doc_id] & sets[m.doc_id]) / len(sets[r.doc_id] | sets[m.doc_id]) for r in got for m in r.matches)
+    assert len(got) == len(rows) and all(len(r.fingerprint) == (4 * PRINT.hashes if sets[r.doc_id] else 0) for r in got)
+    assert all(r.class_id == name[r.doc_id] and r.copies == sum(n == name[r.doc_id] for n in name.values()) for r in got)
+    pairs, member = similar_pairs(df)
+    have = {(min(p.a_id, p.b_id), max(p.a_id, p.b_id)): p.jaccard for p in pairs.collect()}
+    assert set(have) <= want and len(have) >= 0.97 * len(want)
+    assert all(s == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for (a, b), s in have.items())
+    assert {(r.doc_id, r.class_id) for r in member.collect()} == {(i, n) for i, n in name.items() if sum(m == n for m in name.values()) > 1}
+    for r in got:
+        own = [s for p, s in have.items() if name[r.doc_id] in p]
+        assert (r.links, r.most_like) == (len(own), max(own, default=None))
+    blocks = {(r.doc_id, r.links, r.most_like) for r in fingerprints(df, block_docs=7).collect()}
+    assert blocks == {(r.doc_id, r.links, r.most_like) for r in got}
 
 
 def brute_kept(rows, t):
@@ -173,16 +185,48 @@ def test_near_dedup(copies):
     assert found <= gone and len(found) >= 0.97 * len(gone)
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_large_components_are_checked_by_blocks(copies, block, monkeypatch):
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_large_components_are_checked_by_blocks(copies, block):
     df, rows = copies
-    found = near.like_documents(df, "text", near.Likeness(0.6, 30, 5), keep=["doc_id"], block_docs=block)
-    ids = {r.nid: r.doc_id for r in found.rows.collect()}
-    pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in found.pairs.collect()}
-    twins = {tuple(sorted((ids[r.a], ids[r.b]))) for r in found.same.collect()}
-    firsts = {i for p in twins for i in p}
-    want = {p for p in brute_pairs(rows, 0.6) if not (set(p) & firsts)}
-    assert len(want & pairs) >= 0.95 * len(want) and pairs <= brute_pairs(rows, 0.6)
+    assert {r.doc_id for r in near_dedup(df, block_docs=block).collect()} == {r.doc_id for r in near_dedup(df).collect()}
+
+
+def test_a_chain_of_like_documents_and_a_crowd_of_equal_ones(spark, make_text):
+    """Each of the chain is like the next and not like those far off; the crowd is one row of three."""
+    words = make_text(77, 2400).split()
+    chain = [(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(580)]
+    crowd = [(1000 + k, "the very same words for everyone") for k in range(700)]
+    other = [(5000 + k, make_text(9000 + k, 50)) for k in range(100)]
+    df = spark.createDataFrame([*chain, *crowd, *other], "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id for r in near_dedup(df, block_docs=60).collect()} == {0, 1000} | {i for i, _ in other}
+    got = {r.doc_id: r for r in fingerprints(df, block_docs=60).collect()}
+    assert all(r.class_id == 1000 and r.copies == 700 and r.links == 0 for i, r in got.items() if 1000 <= i < 5000)
+    links = brute_pairs(chain, PRINT.threshold)
+    assert sum(got[i].links for i, _ in chain) >= 0.97 * 2 * len(links)
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    far = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    df = spark.createDataFrame([(1, text), (2, text[:1500] + "\u4e2d" + text[1500:]), (3, far)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_dedup(df).collect()) == [1, 3]
+    assert sorted((r.doc_id, r.links) for r in fingerprints(df).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_tasks_across_classes(spark):
+    """Every two members of different classes meet in one task, whatever the blocks."""
+    rng = random.Random(3)
+    data = [(g, 1000 * g + k, 0 if rng.random() < share else rng.randrange(1, 4)) for g, share in ((1, 0.9), (2, 0.3), (3, 0.0)) for k in range(40)]
+    members = spark.createDataFrame(data, "g bigint, nid bigint, class bigint")
+    met = set()
+    tasks = defaultdict(list)
+    for r in near._across(members, 6).collect():
+        tasks[r.g, r.p, r.q].append(r)
+    for rows in tasks.values():
+        assert len(rows) <= 40
+        met |= {frozenset((x.nid, y.nid)) for x in rows for y in rows if x["class"] != y["class"] and (x.side < 0 or x.side != y.side)}
+    assert met == {frozenset((a[1], b[1])) for a in data for b in data if a[0] == b[0] and a[2] != b[2]}
 
 
 def test_near_odd_rows(odd, empty):
@@ -190,7 +234,7 @@ def test_near_odd_rows(odd, empty):
     assert got.columns == odd.columns
     assert sorted((r.doc_id or 0, r.text is None) for r in got.collect()) == [(0, False), (1, False), (3, True), (4, False), (5, False), (6, False), (7, False), (8, False), (9, False), (10, False)]
     prints = fingerprints(odd).collect()
-    assert len(prints) == odd.count() and sorted(len(r.matches) for r in prints if r.doc_id in (1, 2)) == [2, 2, 2]
+    assert len(prints) == odd.count() and sorted((r.class_id, r.copies, r.links) for r in prints if r.doc_id in (1, 2)) == [(1, 3, 0)] * 3
     assert near_dedup(empty).collect() == [] and fingerprints(empty).collect() == []
 
 

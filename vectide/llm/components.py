@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import written
@@ -52,16 +52,21 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
 
 
 def _by_rounds(edges: DataFrame) -> DataFrame:
-    """Alternates the large-star and small-star operations until the edges are stars around least nodes."""
+    """Alternates the large-star and small-star operations until the edges are stars around least nodes.
+
+    Least neighbours are grouped, which merges before it shuffles, and joined
+    back, which adaptive execution splits: a node with any number of neighbours is no task by itself.
+    """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = now.union(now.select("v", "u")).distinct()
-        least = F.least(F.min("v").over(Window.partitionBy("u")), "u")
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(now.where("u = v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).distinct().where("u > v").union(large.where("u = v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.union(now.where("u = v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        now = written(small.where("u > v").union(large.where("u = v")).distinct())
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

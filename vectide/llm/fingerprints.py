@@ -6,46 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import positional, sized, written
-from .near import Likeness, like_documents
+from .near import BLOCK_DOCS, Found, Likeness, like_documents
 
 #: Similarity 0.7 of the sets of word pairs; 16 bands of 5 find 0.95 of the pairs at the threshold itself, 0.998 at 0.8.
-PRINT = Likeness(threshold=0.7, bands=16, rows=5, seed=29)
+#: Signatures screen out only what has no chance of reaching the threshold.
+PRINT = Likeness(threshold=0.7, bands=16, rows=5, seed=29, batch=40, miss=1e-6)
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: Likeness = PRINT) -> DataFrame:
-    """One row per row of docs: id_col, fingerprint, matches.
+def _found(docs: DataFrame, text_col: str, id_col: str, how: Likeness, block_docs: int, links: bool) -> Found:
+    columns, at = positional(docs)
+    renamed = columns.select(F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
+    return like_documents(renamed, "__t", how, keep=["__id"], links=links, block_docs=block_docs)
+
+
+def _classes(found: Found) -> DataFrame:
+    """(a, x, class_id, copies): the rows x whose words are those of a, the least of their ids, how many there are."""
+    member = found.same.union(found.same.select("a", "a").distinct()).toDF("a", "x")
+    named = written(found.rows.select("nid", "__id").join(sized(written(member), 16), F.col("nid") == F.col("x")))
+    least = named.groupBy("a").agg(F.min(F.struct(F.col("__id").isNull().alias("n"), "__id")).alias("least"), F.count("*").alias("copies"))
+    return named.join(sized(written(least), 48), "a").select("a", "x", F.col("least.__id").alias("class_id"), "copies")
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: Likeness = PRINT, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """One row per row of docs: id_col, fingerprint, class_id, copies, links, most_like.
 
     fingerprint holds the text's min-wise hashes (how.hashes little-endian
-    uint32) of its word pairs.  matches lists (id, jaccard) of the documents
-    whose similarity reaches how.threshold, in the order of ids; each pair is
-    listed on both sides.  Rows of the same words are compared once for all;
-    they have one another, at 1.0, and the same other matches.
-
-    Null, empty and blank texts have an empty fingerprint and no matches.  Texts
-    of any length are read whole.  Repeated rows each have a row.  Null ids stay
-    null, in matches too.  An empty table gives an empty table; other columns
-    are left out.
+    uint32) of its word pairs.  Rows of the same words are one class, named by
+    its least id (nulls last), of `copies` rows.  links is the number of other
+    classes whose similarity reaches how.threshold, verified text against text,
+    and most_like the greatest of these similarities, null without any.  So
+    every link between different texts is counted, and a class of any number
+    of rows adds no pairs.  The pairs themselves are similar_pairs().
+
+    Null, empty and blank texts have an empty fingerprint, no links and no
+    copies, each being a class of its own.  In scripts without white space every
+    character counts as a word.  Texts of any length are read whole.  Repeated
+    rows each have a row.  Ids may be of any type that has an order; null ids
+    stay null.  An empty table gives an empty table; other columns are left out.
     """
-    columns, at = positional(docs)
-    renamed = columns.select(F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
-    found = like_documents(renamed, "__t", how, keep=["__id"], with_signature=True, carry="__id")
-    ids, same = found.rows.select("nid", "__id"), found.same
-    # (first row of some words, each row of them, its id): few, and sent to the pairs while they are.
-    member = same.union(same.select("a", "a")).distinct().toDF("a", "x")
-    group = written(ids.join(sized(written(member), 16), F.col("nid") == F.col("x")).select("a", "x", F.col("__id").alias("x_id")))
-    left, right = sized(group, 24), sized(group.toDF("b", "y", "y_id"), 24)
-    pairs = found.pairs.join(left, "a", "left").join(right, "b", "left")
-    ours = [F.when(F.col(m).isNull(), F.col(own)).otherwise(F.col(as_)).alias(own) for m, own, as_ in (("x", "a", "x"), ("y", "b", "y"), ("x", "a_id", "x_id"), ("y", "b_id", "y_id"))]
-    alike = group.join(sized(group.toDF("a", "y", "y_id"), 24), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_id").alias("a_id"), F.col("y_id").alias("b_id"), F.lit(1.0).alias("jaccard"))
-    edges = pairs.select(*ours, "jaccard").union(alike)
-    named = edges.select("a", F.col("b_id").alias("other"), "jaccard").union(edges.select("b", "a_id", "jaccard"))
-    match = F.struct(F.col("other").alias(id_col), "jaccard")
-    lists = named.groupBy("a").agg(F.sort_array(F.collect_list(match)).alias("matches")).withColumnRenamed("a", "nid")
-    none = F.array().cast(lists.schema["matches"].dataType)
-    # Rows without matches, which are most, need no join; the others' ids are sent to them while these are few.
-    matched = found.pairs.select("a").union(found.pairs.select("b")).union(same.select("a")).union(same.select("b")).distinct().toDF("nid")
-    matched = sized(written(matched), 8)
-    rows = found.rows.select("nid", "__id", "sig")
-    some = rows.join(matched, "nid", "left_semi").join(lists, "nid")
-    rest = rows.join(matched, "nid", "left_anti").withColumn("matches", none)
-    return some.unionByName(rest).select(F.col("__id").alias(id_col), F.col("sig").alias("fingerprint"), "matches")
+    found = _found(docs, text_col, id_col, how, block_docs, links=True)
+    counts = written(found.found.groupBy("nid").agg(F.sum("links").alias("links"), F.max("most").alias("most_like")))
+    classes = written(_classes(found))
+    tail = [F.col("links"), F.col("most_like")]
+    several = classes.join(sized(counts, 24).withColumnRenamed("nid", "a"), "a", "left").select("x", "class_id", "copies", *tail)
+    single = counts.join(sized(classes.select(F.col("a").alias("nid")).distinct(), 8), "nid", "left_anti")
+    known = several.union(single.select(F.col("nid").alias("x"), F.lit(None).cast(classes.schema["class_id"].dataType), F.lit(1).cast("bigint"), *tail))
+    rows = found.rows.select("nid", "__id", "sig").join(sized(written(known), 48), F.col("nid") == F.col("x"), "left")
+    own = F.when(F.coalesce("copies", F.lit(1)) > 1, F.col("class_id")).otherwise(F.col("__id"))
+    return rows.select(F.col("__id").alias(id_col), F.col("sig").alias("fingerprint"), own.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), "most_like")
+
+
+def similar_pairs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: Likeness = PRINT, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """((a_id, b_id, jaccard) of the pairs that fingerprints() counts, between one row of each class; (id, class_id) of rows that have copies).
+
+    As many pairs as there are links between different texts; null ids are pairs' ids too.
+    """
+    found = _found(docs, text_col, id_col, how, block_docs, links=False)
+    classes = written(_classes(found))
+    ids = found.rows.select("nid", "__id").join(sized(classes.select(F.col("a"), F.col("class_id")).distinct(), 24), F.col("nid") == F.col("a"), "left")
+    ids = ids.select("nid", F.when(F.col("a").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias("name"))
+    pairs = found.found.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b").select("a_id", "b_id", "jaccard")
+    member = found.rows.select("nid", "__id").join(sized(classes, 32), F.col("nid") == F.col("x")).select(F.col("__id").alias(id_col), "class_id")
+    return pairs, member

@@ -1,28 +1,33 @@
-"""Pairs of like documents by min-wise hashing: bands joined in Spark, candidates checked where their texts meet.
+"""Pairs of like documents by min-wise hashing: bands grouped in Spark, candidates told apart by signatures, then by texts.
 
-What operators 7 and 10 share.  Texts are read twice, once for their bands and
-once, for the documents that have a candidate, to be checked; they are shuffled
-only in the second case.
+What operators 7 and 10 share.  Signatures are made once and carried.  Of every
+bucket, the rows that agree in a band, all are compared with the first by
+signatures; rows of different components that this leaves in a bucket are
+compared with one another.  So only rows whose signatures say that they may be
+alike come together, once each, to have their texts compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import claim, map_text, sized, with_row_id, written
 from .byte_bpe import _gather
 from .components import components
-from .shingles import band_keys, forget_powers, mix64, shingles, signatures
+from .shingles import band_keys, forget_powers, jaccard, mix64, shingle_sets, shingles, signatures
 
-#: Documents of a component that one task holds; larger components are checked block against block.
+#: Documents, and their words, that meet in one task at most; what is more is parted into blocks.
 BLOCK_DOCS = 8_000
+BLOCK_WORDS = 4_000_000
+#: Documents of small groups that are checked in one call.
+CALL_DOCS = 2_000
 
 
 @dataclass(frozen=True)
@@ -34,8 +39,8 @@ class Likeness:
     rows: int
     width: int = 2
     seed: int = 11
-    #: Sequential Bayesian verification, in batches of so many hashes, at this probability of missing a pair; 0: none.
-    batch: int = 0
+    #: Sequential Bayesian verification, in batches of so many hashes, at this probability of missing a pair.
+    batch: int = 30
     miss: float = 0.01
     #: Pairs whose documents are already joined are not checked again.
     forest: bool = False
@@ -44,6 +49,11 @@ class Likeness:
     def hashes(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def limits(self) -> list[tuple[int, int]]:
+        """(hashes looked at, fewest that must be equal) after every batch."""
+        return [(n, least_matches(n, self.threshold, self.miss)) for n in range(self.batch, self.hashes + 1, self.batch)]
+
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest of n equal hashes with which a pair's similarity is at least threshold with probability >= miss.
@@ -59,6 +69,19 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
+def pruned(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (i, j) may be alike, batch of hashes by batch."""
+    alive, matches, at = np.arange(len(j)), np.zeros(len(j), np.int64), 0
+    for n, least in limits:
+        if not len(alive):
+            break
+        for lo in range(0, len(alive), 20_000):
+            some = alive[lo : lo + 20_000]
+            matches[some] += np.count_nonzero(sigs[j[some], at:n] == sigs[i[some], at:n], axis=1)
+        alive, at = alive[matches[alive] >= least], n
+    return alive
+
+
 def candidate_rows(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(i, all j > i that share a band with i) for each i that has any."""
     n, bands = keys.shape
@@ -75,43 +98,44 @@ def candidate_rows(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def check_group(texts: list[str], side: np.ndarray | None, how: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, Jaccard) of the candidates among texts whose similarity reaches the threshold.
+def check_group(keys: np.ndarray, sigs: np.ndarray, texts: list[str] | None, how: Likeness, side: np.ndarray | None = None, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, Jaccard) of the rows that share a key and are alike: by their texts, or, without texts, by their signatures.
 
-    With side (0 or 1 for each text) only pairs across the sides are looked at.
+    Where side isn't -1 only pairs across the sides are looked at.  With how.forest, or
+    without texts, rows that are joined already, or whose class is one, are not looked at again.
     """
-    values, counts = shingles(texts, how.width)
-    sigs = signatures(values, counts, how.hashes, how.seed)
-    keys = band_keys(sigs, how.bands)
-    sets = [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    marked = np.zeros(len(vocabulary), np.int32)
-    parent = np.arange(len(texts))
-    limits = [(n, least_matches(n, how.threshold, how.miss)) for n in range(how.batch, how.hashes + 1, how.batch)] if how.batch else []
+    n = len(keys)
+    forest = how.forest or texts is None
+    parent = np.arange(n)
+    if classes is not None:
+        _, first, back = np.unique(classes, return_index=True, return_inverse=True)
+        parent = first[back].astype(np.int64)
+    if texts is not None:
+        values, counts = shingles(texts, how.width)
+        sets = [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        marked = np.zeros(len(vocabulary), np.int32)
+    limits = how.limits
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, js in candidate_rows(keys):
         if side is not None:
-            js = js[side[js] != side[i]]
-        js = js[sizes[js] > 0]
-        # |a & b| / |a | b| is at most the smaller size over the larger
-        js = js[np.minimum(sizes[js], sizes[i]) >= how.threshold * np.maximum(sizes[js], sizes[i])]
-        if how.forest and len(js):
+            js = js[(side[js] < 0) | (side[js] != side[i])]
+        if texts is not None:  # |a & b| / |a | b| is at most the smaller size over the larger
+            js = js[np.minimum(sizes[js], sizes[i]) >= how.threshold * np.maximum(sizes[js], sizes[i])]
+        if forest and len(js):
             while not np.array_equal(hop := parent[parent], parent):
                 parent = hop
             js = js[parent[js] != parent[i]]
-        matches, at = np.zeros(len(js), np.int64), 0
-        for n, least in limits:
-            if not len(js):
-                break
-            matches += np.count_nonzero(sigs[js, at:n] == sigs[i, at:n], axis=1)
-            js, matches, at = js[matches >= least], matches[matches >= least], n
+        if len(js):
+            js = js[pruned(sigs, np.full(len(js), i), js, limits)]
         if not len(js):
             continue
-        mine = flat[starts[i] : starts[i] + sizes[i]]
-        marked[mine] = 1
-        if how.forest:  # one at a time, since each may join the others
+        if texts is not None:
+            mine = flat[starts[i] : starts[i] + sizes[i]]
+            marked[mine] = 1
+        if forest:  # one at a time, since each may join the others
             near, same = [], []
             for j in js.tolist():
                 a, b = parent[i], parent[j]
@@ -121,8 +145,8 @@ def check_group(texts: list[str], side: np.ndarray | None, how: Likeness) -> tup
                     b = parent[b]
                 if a == b:
                     continue
-                s = int(marked[flat[starts[j] : starts[j] + sizes[j]]].sum())
-                if s >= how.threshold * (sizes[i] + sizes[j] - s):
+                s = 0 if texts is None else int(marked[flat[starts[j] : starts[j] + sizes[j]]].sum())
+                if texts is None or s >= how.threshold * (sizes[i] + sizes[j] - s):
                     parent[max(a, b)] = min(a, b)
                     near.append(j)
                     same.append(s)
@@ -130,21 +154,27 @@ def check_group(texts: list[str], side: np.ndarray | None, how: Likeness) -> tup
         else:
             hit = marked[_gather(starts[js], sizes[js], flat)]
             shared = np.add.reduceat(hit, np.cumsum(sizes[js]) - sizes[js])
-        marked[mine] = 0
-        union = sizes[i] + sizes[js] - shared
-        good = shared >= how.threshold * union
-        js = js[good]
+        if texts is not None:
+            marked[mine] = 0
+            union = sizes[i] + sizes[js] - shared
+            good = shared >= how.threshold * union
+            js, shared = js[good], shared[good] / union[good]
         if len(js):
-            out.append((np.full(len(js), i), js, shared[good] / union[good]))
+            out.append((np.full(len(js), i), js, np.asarray(shared, np.float64)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal values of `names`, whole though batches cut them, several small runs never joined."""
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], most: int = CALL_DOCS, words: str | None = None, most_words: int = BLOCK_WORDS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, number of the group of each): whole groups of equal `names`, as many small ones at once as make `most` rows."""
     held: list[pa.Table] = []
-    last = None
+    sizes: list[int] = []
+    last, weight = None, 0
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        return pa.concat_tables(held), np.repeat(np.arange(len(sizes)), sizes)
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if not table.num_rows:
@@ -154,44 +184,94 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+        each = table.column(words).to_numpy() if words else None
         for lo, hi in zip(cuts, cuts[1:]):
             key = tuple(c[lo].item() for c in cols)
-            if last is not None and key != last:
-                yield pa.concat_tables(held)
-                held = []
+            if key != last:
+                if held and (sum(sizes) >= most or weight >= most_words // 8):
+                    yield out()
+                    held, sizes, weight = [], [], 0
+                sizes.append(0)
             last = key
             held.append(table.slice(lo, hi - lo))
+            sizes[-1] += hi - lo
+            weight += int(each[lo:hi].sum()) if words else 0
     if held:
-        yield pa.concat_tables(held)
+        yield out()
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, hashes)
+
+
+def _meet(members: DataFrame, payload: DataFrame, by: list[str], schema: str, check: Callable) -> DataFrame:
+    """check over the members' payload, joined by nid; members of one `by` come together, in the order of nid."""
+    joined = payload.join(sized(written(members), 48), "nid").repartition(*by).sortWithinPartitions(*by, "nid")
+    return written(joined.mapInArrow(check, schema))
+
+
+def _around(edges: DataFrame, most: int) -> DataFrame:
+    """(a, part, nid): every a with its b's, in parts of `most` rows at most, each of which has a as well."""
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    own = edges.join(sized(written(parts), 16), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("nid"))
+    return own.union(parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("nid")))
+
+
+def _across(members: DataFrame, most: int, weight: Column | None = None, most_weight: int = BLOCK_WORDS) -> DataFrame:
+    """(g, p, q, nid, side, class): tasks in which every two rows of g of different classes meet; members: (g, nid, class).
+
+    The largest class of g, parted into blocks, meets blocks of the others,
+    which meet one another: rows of a class that holds most of a group are
+    sent as often as there are blocks of others, which is once as a rule.
+    """
+    weight = F.lit(0) if weight is None else weight
+    per = members.groupBy("g", "class").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    top = per.groupBy("g").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.max(F.struct("n", "class", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(w / most_weight)).cast("int")
+    top = top.select("g", "main", blocks(F.col("m.n"), F.col("m.w")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("others"))
+    rows = members.join(sized(written(top), 32), "g").withColumn("is_main", F.col("class") == F.col("main"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("nid"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    task = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    k = F.col("k")
+    main = F.transform(upto("others"), lambda x: task(-k - 1, x, F.lit(0)))
+    other = F.concat(
+        F.transform(upto("mains"), lambda x: task(-x - 1, k, F.lit(1))),
+        F.transform(upto("others"), lambda x: task(F.least(k, x), F.greatest(k, x), F.when(k == x, -1).otherwise((k > x).cast("int")))),
+    )
+    return rows.select("g", "nid", "class", F.explode(F.when(F.col("is_main"), main).otherwise(other)).alias("t")).select("g", "t.p", "t.q", "nid", "t.side", "class")
 
 
 @dataclass(frozen=True)
 class Found:
-    """table: docs with row ids; rows: (nid, __file, __row, sig if wanted).
+    """table: docs with row ids; rows: (nid, __file, __row, columns kept, sig).
 
-    same: (a, b), b a row of the same words as a, the first such; pairs: (a, b,
-    jaccard, a_id and b_id if carried), a < b, verified pairs of rows that stand
-    for themselves.
+    same: (a, b), b a row of the same words as a, the first such; found: what was
+    made of the verified pairs of rows that stand for themselves.
     """
 
     table: DataFrame
     rows: DataFrame
     same: DataFrame
-    pairs: DataFrame
+    found: DataFrame
 
 
-def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str] = (), with_signature: bool = False, carry: str | None = None, block_docs: int = BLOCK_DOCS) -> Found:
+_PAIRS = "a bigint, b bigint, jaccard double"
+
+
+def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str] = (), links: bool = False, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS) -> Found:
     """Verified pairs of rows of docs; rows of the same words are linked to the first of them, which stands for all.
 
-    With carry, one of keep, pairs have that column of both rows as a_id and b_id.
+    found has (a, b, jaccard), a < b: all pairs, or, with how.forest, as many as
+    join what belongs together.  With links it has (nid, links, most): how many others each
+    is like, and the greatest similarity.
     """
     table = with_row_id(docs)
     text = F.col(f"`{text_col}`").cast("string")
     narrow = table.select("__file", "__row", *keep, text.alias("__text"))
     names = ["__file", "__row", *keep]
-    empty = [F.lit(0).cast("bigint").alias(c) for c in ("w1", "w2")]
-    extra = [F.lit(b"").alias("sig")] if with_signature else []
-    schema = narrow.select(*names, *empty, F.lit(None).cast("array<bigint>").alias("keys"), *extra).schema
+    longs = [F.lit(0).cast("bigint").alias(c) for c in ("w1", "w2", "words")]
+    schema = narrow.select(*names, *longs, F.lit(b"").alias("sig")).schema
 
     def digest(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
         claim("near", forget_powers)
@@ -204,53 +284,136 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
             ends = np.cumsum(counts)
             whole.append(pa.array((total[ends] - total[ends - counts]).view(np.int64)))
-        keys = band_keys(sigs, how.bands).view(np.int64)
-        sizes = np.where(counts > 0, how.bands, 0)
-        cols = [batch.column(c) for c in names] + whole + [_lists64(keys[counts > 0].ravel(), sizes)]
-        if with_signature:
-            cols.append(pa.array([s.tobytes() if c else b"" for s, c in zip(sigs, counts)], pa.binary()))
-        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
+        prints = pa.array([s.tobytes() if c else b"" for s, c in zip(sigs, counts)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in names] + whole + [pa.array(counts), prints], names=[f.name for f in schema])
 
     rows = written(map_text(narrow, "__text", schema, digest).withColumn("nid", F.monotonically_increasing_id()))
     # Rows of the very same words: one stands for all.
-    some = rows.where(F.size("keys") > 0)
+    some = rows.where("words > 0")
     twice = some.groupBy("w1", "w2").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1")
     same = written(some.select("w1", "w2", "nid").join(sized(written(twice), 24), ["w1", "w2"]).where("nid > a").select("a", F.col("nid").alias("b")))
-    gone = sized(same.select(F.col("b").alias("nid")), 8)
-    alone = some.select("nid", "keys").join(gone, "nid", "left_anti")
-    # A star around the least row of every bucket has the components of all the candidates.
-    buckets = alone.select("nid", F.explode("keys").alias("key"))
-    star = buckets.withColumn("a", F.min("nid").over(Window.partitionBy("key"))).where("nid > a").select("a", F.col("nid").alias("b")).distinct()
-    parts = written(components(star))
-    blocks = parts.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / block_docs).cast("int").alias("blocks"))
-    member = parts.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    member = member.select("node", "root", "block", F.explode(other).alias("o"))
-    member = member.select("node", F.col("root"), F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
-    place = rows.select("nid", F.col("__file").alias("__f"), F.col("__row").alias("__r"))
-    member = written(place.join(sized(written(member), 28), F.col("nid") == F.col("node")).drop("node"))
-    carried = [F.col(carry).alias("carry")] if carry else []
-    texts = table.select("__file", "__row", text.alias("__text"), *carried).join(sized(member, 44), (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")))
-    met = texts.select("root", "lo", "hi", "block", "nid", "__text", *(["carry"] if carry else [])).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "nid")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("near", forget_powers)
-        for group in _groups(batches, ["root", "lo", "hi"]):
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            side = None if lo == hi else (group.column("block").to_numpy() == hi).astype(np.int8)
+    alone = some.join(sized(same.select(F.col("b").alias("nid")), 8), "nid", "left_anti")
+    # Buckets of two rows and more, with their first; only the rows in them are looked at from here on.
+    width = 4 * how.rows
+    keys = F.array(*[F.xxhash64(F.substring("sig", b * width + 1, width), F.lit(b)) for b in range(how.bands)])
+    buckets = alone.select("nid", F.explode(keys).alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("nid").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    shared = written(buckets.join(sized(written(shared), 16), "key"))
+    here = sized(written(shared.select("nid").distinct()), 8)
+    payload = written(rows.select("nid", "__file", "__row", "words", "sig").join(here, "nid"))
+    star = written(shared.where("nid > a").select("a", F.col("nid").alias("b")).distinct())
+    prints = payload.select("nid", "sig")
+    edges = _meet(_around(star, block_docs), prints, ["a", "part"], "a bigint, b bigint", _star_check(how))
+    # What the firsts don't tell: rows of a bucket that are in different components by now.
+    root = components(edges)
+    marked = shared.where("nid > a").select("key", "nid").join(sized(written(root), 16), F.col("nid") == F.col("node"), "left")
+    marked = written(marked.select(F.col("key").alias("g"), "nid", F.coalesce("root", "nid").alias("class")))
+    open_ = marked.groupBy("g").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("g")
+    rest = _across(marked.join(sized(written(open_), 8), "g"), block_docs)
+    more = _meet(rest, prints, ["g", "p", "q"], "a bigint, b bigint", _bucket_check(how))
+    edges = edges.union(more)
+    # Texts meet by components.
+    parts = written(components(edges))
+    member = written(parts.join(payload.select(F.col("nid").alias("node"), "words"), "node"))
+    blocks = written(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("words") / block_words)).cast("int").alias("blocks")))
+    large = blocks.where("blocks > 1")
+    placed = payload.select("nid", F.col("__file").alias("__f"), F.col("__row").alias("__r"), "words", "sig")
+
+    def texts_of(members: DataFrame, by: list[str], out: str, check: Callable) -> DataFrame:
+        at = written(placed.join(sized(written(members), 48), "nid"))
+        met = table.select("__file", "__row", text.alias("__text")).join(sized(at, 64 + 4 * how.hashes), (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))).drop("__file", "__row", "__f", "__r")
+        return written(met.repartition(*by).sortWithinPartitions(*by, "nid").mapInArrow(check, out))
+
+    schema_out = "nid bigint, links bigint, most double" if links else _PAIRS
+    task = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(-1).alias("side"), F.lit(None).cast("bigint").alias("class")]
+    whole = member.join(sized(blocks.where("blocks = 1"), 16), "root").select(F.col("root").alias("g"), F.col("node").alias("nid"), *task)
+    check = _text_check(how, links)
+    by = ["g", "p", "q"]
+    if large.isEmpty():
+        return Found(table, rows, same, texts_of(whole, by, schema_out, check))
+    if not how.forest:  # all pairs are wanted: block meets block
+        block = member.join(sized(large, 16), "root").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("k") == F.col("o"), -1).otherwise((F.col("k") > F.col("o")).cast("int"))
+        squared = block.select(F.col("root").alias("g"), F.col("node").alias("nid"), F.least("k", "o").alias("p"), F.greatest("k", "o").alias("q"), side.alias("side"), task[3])
+        return Found(table, rows, same, texts_of(whole.union(squared), by, schema_out, check))
+    found = texts_of(whole, by, _PAIRS, check)
+    inside = member.join(sized(large, 16), "root").select(F.col("root").alias("g"), F.col("node").alias("nid"), "words")
+    within = edges.join(sized(written(inside.select(F.col("nid").alias("a"))), 8), "a")
+    sure = texts_of(_around(within, min(block_docs, 1000)), ["a", "part"], _PAIRS, _edge_check(how))
+    joined = written(components(sure.select("a", "b")))
+    classes = written(inside.join(sized(joined, 16), F.col("nid") == F.col("node"), "left").select("g", "nid", "words", F.coalesce("root", "nid").alias("class")))
+    torn = written(classes.groupBy("g").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("g"))
+    last = texts_of(_across(classes.join(sized(torn, 8), "g"), block_docs, F.col("words"), block_words), by, _PAIRS, check)
+    return Found(table, rows, same, found.union(sure).union(last))
+
+
+def _star_check(how: Likeness) -> Callable:
+    """Each part's first row against the others, by signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits, first, print_ = how.limits, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, nid, sigs = batch.column("a").to_numpy(), batch.column("nid").to_numpy(), _matrix(batch.column("sig"), how.hashes)
+            if first is not None:  # a part may go on from one batch to the next
+                a, nid, sigs = np.append(first, a), np.append(first, nid), np.concatenate([print_[None], sigs])
+            leads = a == nid
+            at = np.maximum.accumulate(np.where(leads, np.arange(len(a)), 0))
+            others = np.flatnonzero(~leads)
+            good = others[pruned(sigs, at[others], others, limits)]
+            first, print_ = a[at[-1]], sigs[at[-1]].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(nid[good])], names=["a", "b"])
+
+    return run
+
+
+def _bucket_check(how: Likeness) -> Callable:
+    """Rows of a bucket that are in different components, by signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, own in _runs(batches, ["g", "p", "q"]):
             nid = group.column("nid").to_numpy()
-            i, j, s = check_group(group.column("__text").to_pylist(), side, how)
-            a, b = np.where(nid[i] < nid[j], i, j), np.where(nid[i] < nid[j], j, i)
-            out = [pa.array(nid[a]), pa.array(nid[b]), pa.array(s)]
-            if carry:
-                ids = group.column("carry").combine_chunks()
-                out += [ids.take(pa.array(a)), ids.take(pa.array(b))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "jaccard", "a_id", "b_id"][: len(out)])
+            # The class is known within a group; other groups may hold it too.
+            i, j, _ = check_group(own.astype(np.uint64)[:, None], _matrix(group.column("sig"), how.hashes), None, how, group.column("side").to_numpy(), group.column("class").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nid[i], nid[j])), pa.array(np.maximum(nid[i], nid[j]))], names=["a", "b"])
 
-    kind = dict(table.dtypes)[carry] if carry else ""
-    pairs = met.mapInArrow(verify, "a bigint, b bigint, jaccard double" + (f", a_id {kind}, b_id {kind}" if carry else ""))
-    return Found(table, rows, same, written(pairs))
+    return run
 
 
-def _lists64(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+def _text_check(how: Likeness, links: bool) -> Callable:
+    """Rows of a component that share a band, by signatures and then by texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near", forget_powers)
+        for group, own in _runs(batches, ["g", "p", "q"], words="words"):
+            nid, sigs = group.column("nid").to_numpy(), _matrix(group.column("sig"), how.hashes)
+            keys = band_keys(sigs, how.bands) ^ mix64(own.astype(np.uint64))[:, None]
+            classes = group.column("class")
+            i, j, s = check_group(keys, sigs, group.column("__text").to_pylist(), how, group.column("side").to_numpy(), None if classes.null_count else classes.to_numpy())
+            if links:
+                n, most = np.bincount(i, minlength=len(nid)) + np.bincount(j, minlength=len(nid)), np.zeros(len(nid))
+                np.maximum.at(most, i, s)
+                np.maximum.at(most, j, s)
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(nid[some]), pa.array(n[some]), pa.array(most[some])], names=["nid", "links", "most"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nid[i], nid[j])), pa.array(np.maximum(nid[i], nid[j])), pa.array(s)], names=["a", "b", "jaccard"])
+
+    return run
+
+
+def _edge_check(how: Likeness) -> Callable:
+    """Each part's first row against the others, by texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near", forget_powers)
+        for group, own in _runs(batches, ["a", "part"], words="words"):
+            nid, a = group.column("nid").to_numpy(), group.column("a").to_numpy()
+            sets = shingle_sets(group.column("__text").to_pylist(), how.width)
+            at = np.maximum.accumulate(np.where(a == nid, np.arange(len(a)), 0))
+            s = np.array([jaccard(sets[k], sets[j]) if j != k else 0.0 for j, k in enumerate(at.tolist())])
+            good = s >= how.threshold
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(nid[good]), pa.array(s[good])], names=["a", "b", "jaccard"])
+
+    return run

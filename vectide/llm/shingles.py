@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,11 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: White space beyond ASCII, and scripts that set no space between words, whose characters each count as a word.
+_WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_UNSPACED = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0)]
+#: Bytes that are hashed at once, and on to where a word ends.
+_PART = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -39,20 +45,71 @@ def forget_powers() -> None:
     _powers.clear()
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point under 65,536: 1 white space, 2 a word by itself, 0 the rest."""
+    table = np.zeros(1 << 16, np.uint8)
+    table[_WHITE] = 1
+    for lo, hi in _UNSPACED:
+        table[lo:hi] = 2
+    return table
+
+
+def word_flags(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a word begins at this byte, one has ended before it, it begins a word of one character) for UTF-8 text that ends in white space.
+
+    Words are set apart by white space; in scripts that have none, every character is one.
+    """
+    solid = ~_SPACE[data]
+    alone = np.zeros(len(data), bool)
+    apart = np.zeros(len(data), bool)
+    for lead in (np.flatnonzero(data == 0xC2), np.flatnonzero(data >= 0xE0)):
+        if not len(lead):
+            continue
+        b = [data[lead].astype(np.int64), *(data[lead + k].astype(np.int64) for k in (1, 2))]
+        size = np.where(b[0] < 0xE0, 2, np.where(b[0] < 0xF0, 3, 4))
+        cp = np.where(size == 2, (b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63)
+        kind = _kinds()[np.where(size == 4, 0, cp)]
+        kind[(size == 4) & (b[0] == 0xF0) & (b[1] >= 0xA0)] = 2  # ideographs beyond the first plane
+        for k in range(3):
+            solid[(lead + k)[(kind == 1) & (k < size)]] = False
+        alone[lead[kind == 2]] = True
+        apart[(lead + size)[kind == 2]] = True
+    apart |= alone
+    before = np.concatenate([[False], solid[:-1]])
+    return solid & (~before | apart), before & (~solid | apart), alone
+
+
+def _parts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of some _PART bytes that end in white space."""
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + _PART)
+        while hi < len(data):
+            found = np.flatnonzero(_SPACE[data[hi : hi + _PART]])
+            if len(found):
+                hi += int(found[0]) + 1
+                break
+            hi = min(len(data), hi + _PART)
+        yield lo, hi
+        lo = hi
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of the lower-cased texts, words of each text); words are set apart by ASCII white space."""
-    coded = [t.lower().encode("utf-8") for t in texts]
+    """(hash of every word of the lower-cased texts, words of each text); see word_flags for what a word is."""
+    coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     data = np.frombuffer(b"\n".join(coded) + b"\n", np.uint8)
-    solid = ~_SPACE[data]
-    before = np.concatenate([[False], solid[:-1]])
-    starts = np.flatnonzero(solid & ~before)
-    ends = np.flatnonzero(before & ~solid)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts])
+    hashes, begins = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for lo, hi in _parts(data):
+        begin, stop, _ = word_flags(data[lo:hi])
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
+        sums = np.zeros(hi - lo + 1, _U)
+        np.cumsum((data[lo:hi].astype(_U) + _U(1)) * _power(_BASE, hi - lo), out=sums[1:])
+        hashes.append(mix64((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, hi - lo + 1)[starts]))
+        begins.append(starts + lo)
     edges = np.concatenate([[0], np.cumsum(sizes + 1)])
-    return hashes, np.diff(np.searchsorted(starts, edges))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(begins), edges))
 
 
 def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
