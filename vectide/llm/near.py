@@ -15,6 +15,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -317,11 +318,15 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
     member = written(parts.join(payload.select(F.col("nid").alias("node"), "words"), "node"))
     blocks = written(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("words") / block_words)).cast("int").alias("blocks")))
     large = blocks.where("blocks > 1")
-    placed = payload.select("nid", F.col("__file").alias("__f"), F.col("__row").alias("__r"), "words", "sig")
+    placed = payload.select("nid", F.col("__file").alias("__f"), F.col("__row").alias("__r"), "words")
 
-    def texts_of(members: DataFrame, by: list[str], out: str, check: Callable) -> DataFrame:
+    def texts_of(members: DataFrame, by: list[str], out: str, check: Callable, signed: bool = True) -> DataFrame:
+        """check over the members' texts and, in rows of their own, signatures: so neither is shuffled but to its task."""
         at = written(placed.join(sized(written(members), 48), "nid"))
-        met = table.select("__file", "__row", text.alias("__text")).join(sized(at, 64 + 4 * how.hashes), (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))).drop("__file", "__row", "__f", "__r")
+        place = (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))
+        met = table.select("__file", "__row", text.alias("__text")).join(sized(at, 64), place).drop("__file", "__row", "__f", "__r").withColumn("sig", F.lit(None).cast("binary"))
+        if signed:
+            met = met.unionByName(prints.join(sized(at, 64), "nid").drop("__f", "__r").withColumn("__text", F.lit(None).cast("string")))
         return written(met.repartition(*by).sortWithinPartitions(*by, "nid").mapInArrow(check, out))
 
     schema_out = "nid bigint, links bigint, most double" if links else _PAIRS
@@ -339,7 +344,7 @@ def like_documents(docs: DataFrame, text_col: str, how: Likeness, keep: list[str
     found = texts_of(whole, by, _PAIRS, check)
     inside = member.join(sized(large, 16), "root").select(F.col("root").alias("g"), F.col("node").alias("nid"), "words")
     within = edges.join(sized(written(inside.select(F.col("nid").alias("a"))), 8), "a")
-    sure = texts_of(_around(within, min(block_docs, 1000)), ["a", "part"], _PAIRS, _edge_check(how))
+    sure = texts_of(_around(within, min(block_docs, 1000)), ["a", "part"], _PAIRS, _edge_check(how), signed=False)
     joined = written(components(sure.select("a", "b")))
     classes = written(inside.join(sized(joined, 16), F.col("nid") == F.col("node"), "left").select("g", "nid", "words", F.coalesce("root", "nid").alias("class")))
     torn = written(classes.groupBy("g").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("g"))
@@ -387,7 +392,11 @@ def _text_check(how: Likeness, links: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near", forget_powers)
         for group, own in _runs(batches, ["g", "p", "q"], words="words"):
-            nid, sigs = group.column("nid").to_numpy(), _matrix(group.column("sig"), how.hashes)
+            signed = group.column("sig").is_valid()
+            sigs = _matrix(group.column("sig").filter(signed), how.hashes)
+            unsigned = pc.invert(signed)
+            own, group = own[unsigned.to_numpy()], group.filter(unsigned)  # both kinds of rows are in one order
+            nid = group.column("nid").to_numpy()
             keys = band_keys(sigs, how.bands) ^ mix64(own.astype(np.uint64))[:, None]
             classes = group.column("class")
             i, j, s = check_group(keys, sigs, group.column("__text").to_pylist(), how, group.column("side").to_numpy(), None if classes.null_count else classes.to_numpy())
