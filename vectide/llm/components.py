@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +40,12 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
     edges = written(edges.select("a", "b"))
     if edges.count() <= one_task_edges:
 
-        def one(parts):
-            frames = list(parts)
-            a = np.concatenate([np.zeros(0, np.int64), *[f["a"].to_numpy(np.int64) for f in frames]])
-            b = np.concatenate([np.zeros(0, np.int64), *[f["b"].to_numpy(np.int64) for f in frames]])
-            nodes, roots = union_find(a, b)
-            yield pd.DataFrame({"node": nodes, "root": roots})
+        def one(batches):
+            whole = [np.zeros((2, 0), np.int64), *[np.stack([x.column(c).to_numpy() for c in ("a", "b")]) for x in batches]]
+            nodes, roots = union_find(*np.concatenate(whole, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
 
-        return edges.coalesce(1).mapInPandas(one, "node bigint, root bigint")
+        return edges.coalesce(1).mapInArrow(one, "node bigint, root bigint")
     return _by_rounds(edges)
 
 
