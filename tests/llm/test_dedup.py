@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from vectide.llm import components as cc
 from vectide.llm import exact_dedup as exact
 from vectide.llm import fuse, near, shingles
+from vectide.llm import substring_dedup as dedup
 from vectide.llm.fingerprints import PRINT, fingerprints, similar_pairs
 from vectide.llm.minhash_dedup import NEAR, near_dedup
-from vectide.llm.substring_dedup import AVERAGE, chunk_texts, gear, gear_hashes, repeated_spans, substring_dedup
+from vectide.llm.substring_dedup import AVERAGE, chunk_texts, cut_passages, gear, gear_hashes, repeated_spans, substring_dedup
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 50_000])
@@ -279,7 +280,8 @@ def test_chunks(make_text):
         by[w].append(c)
     for k, t in enumerate(texts):
         assert by[k] == (brute_chunks(t.encode()) if t else [])
-        assert sum(w for x, w in zip(where.tolist(), words.tolist()) if x == k) == len(t.split())
+        alone = t.count("\u4e2d")  # a character of a script without spaces is half a word
+        assert sum(w for x, w in zip(where.tolist(), words.tolist()) if x == k) == (2 * len(t.replace("\u4e2d", " ").split()) + alone)
     assert max(map(len, chunk_texts([b"a" * 10_000])[3])) <= 1024 and chunk_texts([])[3] == []
     long = ("é" * 5000).encode()
     assert all(c.decode() for c in chunk_texts([long])[3]) and b"".join(chunk_texts([long])[3]) == long
@@ -324,11 +326,53 @@ def test_repeated_passages(spark, make_text):
     assert {k: n for k, n in shared.items() if n} == {k: sum(r.end_byte - r.start_byte for r in every if r.doc_id == k) for k in {r.doc_id for r in every}}
 
 
+def test_hot_passages_are_spread(spark, make_text, monkeypatch):
+    """Half of the rows hold one passage; whether it counts as hot changes nothing."""
+    passage = make_text(31, 60)
+    rows = [(k, make_text(2000 + k, 40) + (" " + passage + " " + make_text(3000 + k, 10) if k % 2 else "")) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    cold = sorted(map(tuple, cut_passages(df).collect()))
+    plain = dedup._repeated
+    with monkeypatch.context() as m:
+        m.setattr(dedup, "_repeated", lambda x: plain(x, hot_least=5, hot_share=2))
+        assert sorted(map(tuple, cut_passages(df).collect())) == cold
+        spans = sorted((r.doc_id, r.start_byte, r.end_byte, r.n_words, r.is_later, tuple(r.first_ids)) for r in repeated_spans(df).collect())
+    assert spans == sorted((r.doc_id, r.start_byte, r.end_byte, r.n_words, r.is_later, tuple(r.first_ids)) for r in repeated_spans(df).collect())
+    assert {r[0] for r in cold} == {k for k in range(240) if k % 2} and all(s[5][0] == 1 for s in spans)  # a chunk may reach a letter or two beyond
+    full = {r.doc_id: r.text for r in substring_dedup(df).collect()}
+    assert all(full[i] == text for i, _, text in cold) and all(full[k] == t for k, t in rows if k % 2 == 0)
+    for i, spans, text in cold:
+        data = dict(rows)[i].encode()
+        assert i == 1 or sum(s.n_words for s in spans if s.is_later) > 40
+        for s in reversed([s for s in spans if s.is_later]):
+            data = data[: s.start_byte] + data[s.end_byte :]
+        assert data.decode() == text
+
+
+def test_passages_without_spaces(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = text(600)
+    df = spark.createDataFrame([("b", text(300) + shared + text(200)), ("a", text(100) + shared), ("c", text(900)), (None, shared), ("b", shared)], "doc_id string, text string")
+    got = {(r.doc_id, len(r.text)): r.passages for r in cut_passages(df).collect()}
+    assert len(got) == 4 and sum(any(p.is_later for p in ps) for ps in got.values()) == 3 and ("a", 700) in got
+    assert all(n < 600 for i, n in got if i != "a")
+
+
+def test_cutting_texts():
+    import pyarrow as pa
+
+    texts = pa.array(["skip", "h\u00e9llo w\u00f6rld", None, "", "abcdef", "xyz"]).slice(1)
+    cuts = pa.array([[0], [0, 7, 5], None, None, [0, 1, 5, 1, 3, 4, 4, 6, 5], []], pa.list_(pa.int64())).slice(1)
+    assert dedup.without(texts, cuts).to_pylist() == ["w\u00f6rld", None, "", "bcd", "xyz"]
+
+
 def test_substring_odd_rows(odd, empty):
     got = repeated_spans(odd, least_words=1).collect()
     assert {r.doc_id for r in got} == {1, 2} and all(r.first_ids == [1] for r in got)
     clean = substring_dedup(odd, least_words=1)
     assert clean.columns == odd.columns and clean.count() == odd.count()
     texts = {r.nid: r.text for r in clean.collect()}
-    assert texts[2] == "" and texts[0] == texts[1] == "plain text, it's here" and texts[4] is None
-    assert repeated_spans(empty).collect() == [] and substring_dedup(empty).collect() == []
+    assert texts[2] == "" and sorted([texts[0], texts[1]]) == ["", "plain text, it's here"] and texts[4] is None and texts[5] == ""
+    assert sorted((r.doc_id, r.text) for r in cut_passages(odd, least_words=1).collect()) == [(1, ""), (1, "plain text, it's here"), (2, "")]
+    assert repeated_spans(empty).collect() == [] and substring_dedup(empty).collect() == [] and cut_passages(empty).collect() == []

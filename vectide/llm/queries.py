@@ -12,7 +12,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import fingerprints
 from .minhash_dedup import near_dedup
 from .mixing import mix_sources
-from .substring_dedup import repeated_spans
+from .substring_dedup import cut_passages
 from .token_counts import token_counts
 from .token_store import token_store
 from .toxicity import toxic_documents
@@ -55,7 +55,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(_read(spark, sf_dir, "documents"))
+    return cut_passages(_read(spark, sf_dir, "documents"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

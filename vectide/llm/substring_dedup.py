@@ -6,19 +6,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .batches import claim, map_text, positional, with_row_id, written
+from .batches import BROADCAST_BYTES, claim, map_text, positional, with_row_id, written
+from .shingles import word_flags
 
 #: Bytes of a chunk on average; the hash sees WINDOW bytes; text without a cut is cut at LONGEST.
 AVERAGE, WINDOW, LONGEST = 24, 32, 1024
+#: Digests that so many rows of a sample of one in HOT_SHARE hold are counted before they are shuffled, HOT_MOST of them at most.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 16, 10_000
 #: Words that a run of repeated chunks has at least to be reported. Chunks cover all but the ends of a repeated passage:
 #: of one of 50 words some 36 on average; fewer than 20 in about 1 % of cases. Stock phrases of a line are shorter.
 LEAST_WORDS = 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[*range(9, 14), *range(28, 33)]] = True
 
 
 @lru_cache(maxsize=2)
@@ -39,7 +42,9 @@ def gear_hashes(data: np.ndarray, pad: np.ndarray | None = None) -> np.ndarray:
 
 
 def chunk_texts(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(text of each chunk, its first byte there, its words, its bytes): chunks cover their texts; empty texts have none.
+    """(text of each chunk, its first byte there, its half words, its bytes): chunks cover their texts; empty texts have none.
+
+    Words that begin in a chunk count two, characters of scripts without spaces one each.
 
     Where a chunk ends depends on the 32 bytes before it alone (and on three
     after it, so that no character is cut), so that what is put in before
@@ -68,99 +73,194 @@ def chunk_texts(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         for _ in range(3):
             s = s + ((part > 0) & ((data[s] & 0xC0) == 0x80))
         starts, stops = s, np.where(np.append(part[1:], 0) > 0, np.append(s[1:], 0), e)
-    solid = ~_SPACE[data]
-    words = np.cumsum(solid & ~np.concatenate([[False], solid[:-1]]))
+    begins, _, alone = word_flags(data)
+    words = np.cumsum(begins * np.where(alone, 1, 2))
     ahead = np.concatenate([[0], words])
     whole = data.tobytes()
     where = np.flatnonzero(full)[np.searchsorted(begin[full], starts, "right") - 1] if full.any() else np.zeros(0, np.int64)
     return where, starts - begin[where], ahead[stops] - ahead[starts], [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
 
-def _chunk_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(columns of keep, pos, d1, d2) for every chunk; pos packs first byte, length and words."""
-    narrow = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__text"))
-    longs = [F.lit(0).cast("bigint").alias(c) for c in ("pos", "d1", "d2")]
+def _chunk_rows(docs: DataFrame, keep: list[str], hot: np.ndarray | None = None, hot_only: bool = False) -> DataFrame:
+    """(columns of keep, pos, salt, d1, d2) for every chunk of __t; pos packs first byte, length and half words.
+
+    salt is 0, but for chunks whose d1 is in hot a number from 1 to 1023 that spreads them.
+    """
+    narrow = docs.select(*keep, F.col("__t").cast("string").alias("__t"))
+    longs = [F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("salt"), *[F.lit(0).cast("bigint").alias(c) for c in ("d1", "d2")]]
     schema = narrow.select(*keep, *longs).schema
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(hot)) if hot is not None and len(hot) else None  # HOT_MOST numbers at most
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
         claim("chunks", gear.cache_clear)
         where, start, words, chunks = chunk_texts([t.encode("utf-8") for t in texts])
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), np.int64).reshape(-1, 2)
-        take = pa.array(where)
-        cols = [batch.column(c).take(take) for c in keep] + [pa.array(start << 24 | size << 12 | words), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
-        return pa.RecordBatch.from_arrays(cols, names=[*keep, "pos", "d1", "d2"])
+        pos, salt = start << 24 | size << 12 | words, np.zeros(len(size), np.int32)
+        if known is not None:
+            found = known.value[np.minimum(np.searchsorted(known.value, digest[:, 0]), len(known.value) - 1)] == digest[:, 0]
+            salt[found] = 1 + where[found] % 1023
+            if hot_only:
+                where, pos, salt, digest = where[found], pos[found], salt[found], digest[found]
+        cols = [batch.column(c).take(pa.array(where)) for c in keep] + [pa.array(pos), pa.array(salt), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
+
+    return map_text(narrow, "__t", schema, run)
 
-    return map_text(narrow, "__text", schema, run)
 
+_PLACE = ["__file", "__row"]
 
-def _repeated(docs: DataFrame, text_col: str, id_col: str, keep: list[str]) -> DataFrame:
-    """Chunks found in more than one row: (nid, id, columns of keep, start, end, words, first id, later)."""
-    renamed = docs.select(F.monotonically_increasing_id().alias("nid"), F.col(id_col).cast("bigint").alias("id"), *keep, F.col(text_col).alias("__t"))
-    rows = _chunk_rows(renamed, "__t", ["nid", "id", *keep])
-    of = Window.partitionBy("d1", "d2")
-    rows = rows.withColumns({"lo": F.min("nid").over(of), "hi": F.max("nid").over(of), "least": F.min("id").over(of)}).where("lo < hi")
+
+def _repeated(rows: DataFrame, hot_least: int = HOT_LEAST, hot_share: int = HOT_SHARE) -> DataFrame:
+    """Chunks found in more than one of rows (__file, __row, __id, __t): (__file, __row, start, end, half words, first, later).
+
+    first is the row of least id that has the chunk.  Digests that a sample
+    shows to be held by many rows are grouped on their own, which merges them before
+    they are shuffled; their chunks are then spread over many tasks and not
+    gathered by digest.  How many there are changes the plan, never the result.
+    """
+    keep, order = [*_PLACE, "__id"], F.struct(F.col("__id").isNull().alias("n"), "__id", *_PLACE)
+    several = (F.min("__row") < F.max("__row")) | (F.min("__file") < F.max("__file"))
+    sample = _chunk_rows(rows.where(F.pmod(F.xxhash64(*_PLACE), F.lit(hot_share)) == 0), [])
+    often = sample.groupBy("d1", "d2").count().where(F.col("count") >= hot_least).orderBy(F.desc("count"), "d1", "d2").limit(HOT_MOST)
+    hot = np.array([r.d1 for r in often.select("d1").collect()], np.int64)
+    chunks = _chunk_rows(rows, keep, hot)
+    of = Window.partitionBy("d1", "d2", "salt")
+    own = [F.min(order).over(of).alias("first"), ((F.min("__row").over(of) < F.max("__row").over(of)) | (F.min("__file").over(of) < F.max("__file").over(of))).alias("several")]
+    met = chunks.select("*", *own).where("several or salt > 0")
+    if len(hot):
+        counted = _chunk_rows(rows, keep, hot, hot_only=True).groupBy("d1", "d2").agg(F.min(order).alias("hot_first"), several.alias("hot_several"))
+        counted = F.broadcast(written(counted))  # as many as there are hot digests
+        met = met.join(counted, ["d1", "d2"], "left").withColumns({"first": F.when(F.col("salt") > 0, F.col("hot_first")).otherwise(F.col("first")), "several": F.when(F.col("salt") > 0, F.col("hot_several")).otherwise(F.col("several"))}).where("several")
     start, size = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(4095)
-    return rows.select("nid", "id", *keep, start.alias("start"), (start + size).alias("end"), F.col("pos").bitwiseAND(4095).alias("words"), F.col("least").alias("first"), F.when(F.col("least").isNull(), F.col("nid") > F.col("lo")).otherwise(F.coalesce(F.col("id") > F.col("least"), F.lit(True))).alias("later"))
+    return met.select(*_PLACE, start.alias("start"), (start + size).alias("end"), F.col("pos").bitwiseAND(4095).alias("half"), F.col("first.__id").alias("first"), (order > F.col("first")).alias("later"))
+
 
+def _runs(chunks: DataFrame, least_words: int, firsts: bool = False) -> DataFrame:
+    """(__file, __row, start, end, half, later, parts, firsts if wanted): runs of neighbouring chunks of least_words or more.
 
-def _runs(chunks: DataFrame, keep: list[str], least_words: int) -> DataFrame:
-    order = Window.partitionBy("nid").orderBy("start")
-    fresh = F.coalesce(F.col("start") != F.lag("end").over(order), F.lit(True)).cast("int")
-    run = chunks.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = run.groupBy("nid", "run").agg(
-        F.first("id").alias("id"), *[F.first(c).alias(c) for c in keep], F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sort_array(F.collect_set("first")).alias("firsts"), F.max("later").alias("later")
-    )
-    return spans.where(F.col("words") >= least_words)
+    parts are its stretches of chunks that are all later ones or all not: arrays
+    of start, end, 2 x half words + later.
+    """
+    columns = [*_PLACE, "start", "end", "half", "later", *(["first"] if firsts else [])]
+    order = Window.partitionBy(*_PLACE).orderBy("start")
+    fresh = F.coalesce(F.col("start") != F.lag("end").over(order), F.lit(True))
+    turn = fresh | F.coalesce(F.col("later") != F.lag("later").over(order), F.lit(True))
+    run = chunks.select(*columns).withColumns({"fresh": fresh.cast("int"), "turn": turn.cast("int")}).withColumns({"run": F.sum("fresh").over(order), "part": F.sum("turn").over(order)})
+    firsts_of = [F.collect_set("first").alias("firsts")] if firsts else []
+    part = run.groupBy(*_PLACE, "run", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("half").alias("half"), F.first("later").alias("later"), *firsts_of)
+    packed = F.array("start", "end", F.col("half") * 2 + F.col("later").cast("bigint"))
+    firsts_of = [F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("firsts")] if firsts else []
+    spans = part.groupBy(*_PLACE, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("half").alias("half"), F.max("later").alias("later"), F.collect_list(packed).alias("parts"), *firsts_of)
+    return spans.where(F.col("half") >= 2 * least_words)
+
+
+def _prepared(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """(docs by place, with row ids; their texts and ids; where the text is)."""
+    renamed, at = positional(docs)
+    table = with_row_id(renamed)
+    return table, table.select(*_PLACE, F.col(at(id_col)).alias("__id"), F.col(at(text_col)).cast("string").alias("__t")), at(text_col)
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """Passages that other rows of docs have too: id_col, start_byte, end_byte, n_words, first_ids, is_later.
 
     A passage is a run of neighbouring chunks, each of which another row has;
-    runs under least_words are left out.  first_ids are the least ids that have
-    its chunks; is_later says that some chunk has a row of lower id.  A chunk
-    that only one row repeats is no passage in this sense.
+    runs under least_words are left out (two characters count as a word in scripts without
+    spaces).  first_ids are the ids of the rows that have its chunks first, in
+    the order of ids (nulls last; of equal ids as the table lies); is_later says that
+    some chunk has an earlier row.  A chunk that only one row repeats is no
+    passage in this sense.
 
     Null and empty texts have no chunks.  Texts of any length are chunked whole.
-    Rows that repeat share all their text.  Rows with a null id are reported
-    with a null; first_ids leaves nulls out.  An empty table gives an empty
-    table; other columns are ignored.
+    Rows that repeat share all their text.  Ids may be of any type that has an
+    order; rows with a null id are reported with a null; first_ids leaves
+    nulls out.  An empty table gives an empty table; other columns are ignored.
     """
-    renamed, at = positional(docs)
-    spans = _runs(_repeated(renamed, at(text_col), at(id_col), []), [], least_words)
-    return spans.select(F.col("id").alias(id_col), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("words").alias("n_words"), F.col("firsts").alias("first_ids"), F.col("later").alias("is_later"))
+    _, rows, _ = _prepared(docs, text_col, id_col)
+    spans = _runs(_repeated(rows), least_words, firsts=True)
+    named = spans.join(rows.select(*_PLACE, "__id"), _PLACE)
+    return named.select(F.col("__id").alias(id_col), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.ceil(F.col("half") / 2).alias("n_words"), F.col("firsts").alias("first_ids"), F.col("later").alias("is_later"))
+
+
+def _cuts(rows: DataFrame, least_words: int) -> DataFrame:
+    """(__f, __r, cuts): by row, start, end and 2 x half words + later of every part of a passage, one after another; to be joined to texts.
+
+    Broadcast while its counted bytes are few.
+    """
+    spans = _runs(_repeated(rows), least_words)
+    parts = F.flatten(F.sort_array(F.flatten(F.collect_list("parts"))))
+    cuts = written(spans.groupBy(F.col("__file").alias("__f"), F.col("__row").alias("__r")).agg(parts.alias("cuts")))
+    number, longs = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
+    return F.broadcast(cuts) if 48 * number + 8 * longs <= BROADCAST_BYTES else cuts
+
+
+def _at() -> Column:
+    return (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))
+
+
+def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    """The texts less the passages that are later ones; rows without cuts as they are."""
+    text, cuts = pc.cast(text, pa.large_binary()), pc.fill_null(cuts, pa.scalar([], cuts.type))
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    base = offsets[0]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[base : offsets[-1]]
+    offsets = offsets - base
+    span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    row = np.repeat(np.arange(len(text)), pc.list_value_length(cuts).to_numpy(zero_copy_only=False) // 3)
+    gone = span[:, 2] % 2 == 1
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, offsets[row[gone]] + span[gone, 0], 1)
+    np.add.at(change, offsets[row[gone]] + span[gone, 1], -1)
+    kept = np.cumsum(change[:-1]) == 0
+    left = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(data[kept].tobytes()), text.is_valid().buffers()[1] if text.null_count else None)
+    return pc.cast(out, pa.string())
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs, their texts without the passages of least_words words or more that a row of lower id has; null texts stay null.
+    """docs, their texts, as strings, without what an earlier row has of passages of least_words words or more.
 
-    Of rows with one id, the others of a repeated passage's rows keep it too; null ids come last.
-    Other columns pass through, whatever their names.
+    Earlier is a row of lower id, nulls last; of equal ids, as the table lies: so
+    one row keeps every chunk.  See repeated_spans for what a passage is.  Null
+    texts stay null, empty ones empty; texts of any length are chunked whole;
+    of rows that repeat all but the first lose their text, if it is long enough.
+    An empty table gives an empty table.  Other columns pass through, whatever their names.
     """
     names = docs.columns
-    renamed, at = positional(docs)
-    table = with_row_id(renamed)
-    ids = table.select("__file", "__row", F.col(at(id_col)).alias("__id"), F.col(at(text_col)).alias("__t"))
-    chunks = _repeated(ids, "__t", "__id", ["__file", "__row"]).where("later")
-    spans = _runs(chunks, ["__file", "__row"], least_words)
-    cuts = written(spans.groupBy(F.col("__file").alias("__f"), F.col("__row").alias("__r")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
-    joined = table.join(cuts, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")), "left")
-
-    @F.pandas_udf("string")
-    def without(text, cuts):
-        import pandas as pd
-
-        def one(t, cs):
-            if t is None or cs is None:
-                return t
-            data, out, last = t.encode("utf-8"), [], 0
-            for c in cs:
-                out.append(data[last : c["start"]])
-                last = c["end"]
-            return b"".join([*out, data[last:]]).decode("utf-8")
-
-        return pd.Series([one(t, c) for t, c in zip(text, cuts)], dtype=object)
-
-    text = F.when(F.col("cuts").isNull(), F.col(at(text_col))).otherwise(without(F.col(at(text_col)), F.col("cuts")))
-    return joined.select(*[(text if f"c{i}" == at(text_col) else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
+    table, rows, at = _prepared(docs, text_col, id_col)
+    joined = table.join(_cuts(rows, least_words), _at(), "left").drop("__f", "__r", *_PLACE).withColumn(at, F.col(at).cast("string"))
+    schema = joined.drop("cuts").schema
+    k = schema.names.index(at)
+
+    def run(batches):
+        for batch in batches:
+            columns = batch.columns
+            columns[k] = without(columns[k], columns[-1])
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=schema.names)
+
+    return joined.mapInArrow(run, schema).toDF(*names)
+
+
+def cut_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of docs that hold passages which other rows have too: id_col, passages, text_col.
+
+    passages lists (start_byte, end_byte, n_words, is_later) in the order of the
+    text as it was, a passage being parted where what an earlier row has ends; text_col is what substring_dedup() leaves of it, the whole where
+    no passage is a later one.  Rows that aren't here hold no such passage.
+    Odd rows are as in substring_dedup() and repeated_spans().
+    """
+    table, rows, at = _prepared(docs, text_col, id_col)
+    joined = rows.join(_cuts(rows, least_words), _at()).select("__id", "__t", "cuts")
+    passage = T.StructType([T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("is_later", T.BooleanType())])
+    schema = T.StructType([T.StructField("__id", joined.schema["__id"].dataType), T.StructField("passages", T.ArrayType(passage)), T.StructField("__t", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            ids, text, cuts = batch.columns
+            span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            parts = pa.StructArray.from_arrays([pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array((span[:, 2] // 2 + 1) // 2), pa.array(span[:, 2] % 2 == 1)], names=[f.name for f in passage])
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cuts).to_numpy(zero_copy_only=False) // 3)])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts), without(text, cuts)], names=schema.names)
+
+    return joined.mapInArrow(run, schema).toDF(id_col, "passages", text_col)
