@@ -81,28 +81,34 @@ def chunk_texts(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return where, starts - begin[where], ahead[stops] - ahead[starts], [whole[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
 
-def _chunk_rows(docs: DataFrame, keep: list[str], hot: np.ndarray | None = None, hot_only: bool = False) -> DataFrame:
-    """(columns of keep, pos, salt, d1, d2) for every chunk of __t; pos packs first byte, length and half words.
+#: Set in pos for chunks of hot digests.
+_HOT = 1 << 62
 
-    salt is 0, but for chunks whose d1 is in hot a number from 1 to 1023 that spreads them.
+
+def _chunk_rows(docs: DataFrame, keep: list[str], hot: dict[int, int] | None = None, hot_only: bool = False) -> DataFrame:
+    """(columns of keep, pos, d1, d2) for every chunk of __t; pos packs first byte, length and half words.
+
+    Of chunks whose digest is in hot, pos is marked, and d2 is a small number that spreads them.
     """
     narrow = docs.select(*keep, F.col("__t").cast("string").alias("__t"))
-    longs = [F.lit(0).cast("bigint").alias("pos"), F.lit(0).alias("salt"), *[F.lit(0).cast("bigint").alias(c) for c in ("d1", "d2")]]
+    longs = [F.lit(0).cast("bigint").alias(c) for c in ("pos", "d1", "d2")]
     schema = narrow.select(*keep, *longs).schema
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(hot)) if hot is not None and len(hot) else None  # HOT_MOST numbers at most
+    known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot.items()), np.int64)) if hot else None  # HOT_MOST pairs at most
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
         claim("chunks", gear.cache_clear)
         where, start, words, chunks = chunk_texts([t.encode("utf-8") for t in texts])
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), np.int64).reshape(-1, 2)
-        pos, salt = start << 24 | size << 12 | words, np.zeros(len(size), np.int32)
+        pos, d1, d2 = start << 24 | size << 12 | words, digest[:, 0].copy(), digest[:, 1].copy()
         if known is not None:
-            found = known.value[np.minimum(np.searchsorted(known.value, digest[:, 0]), len(known.value) - 1)] == digest[:, 0]
-            salt[found] = 1 + where[found] % 1023
+            at = np.minimum(np.searchsorted(known.value[:, 0], d1), len(known.value) - 1)
+            found = (known.value[at, 0] == d1) & (known.value[at, 1] == d2)
+            pos[found] |= _HOT
+            d2[found] = (where[found] + lo) % 1024
             if hot_only:
-                where, pos, salt, digest = where[found], pos[found], salt[found], digest[found]
-        cols = [batch.column(c).take(pa.array(where)) for c in keep] + [pa.array(pos), pa.array(salt), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())]
+                where, pos, d1, d2 = where[found], pos[found], d1[found], d2[found]
+        cols = [batch.column(c).take(pa.array(where)) for c in keep] + [pa.array(pos), pa.array(d1), pa.array(d2)]
         return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return map_text(narrow, "__t", schema, run)
@@ -112,28 +118,32 @@ _PLACE = ["__file", "__row"]
 
 
 def _repeated(rows: DataFrame, hot_least: int = HOT_LEAST, hot_share: int = HOT_SHARE) -> DataFrame:
-    """Chunks found in more than one of rows (__file, __row, __id, __t): (__file, __row, start, end, half words, first, later).
+    """Chunks found in more than one of rows (__file, __row, __id, __t): (__file, __row, pos, first, later).
 
-    first is the row of least id that has the chunk.  Digests that a sample
+    first is the id of the first row, by id, that has the chunk.  Digests that a sample
     shows to be held by many rows are grouped on their own, which merges them before
     they are shuffled; their chunks are then spread over many tasks and not
     gathered by digest.  How many there are changes the plan, never the result.
     """
-    keep, order = [*_PLACE, "__id"], F.struct(F.col("__id").isNull().alias("n"), "__id", *_PLACE)
-    several = (F.min("__row") < F.max("__row")) | (F.min("__file") < F.max("__file"))
+    keep = [*_PLACE, "__id"]
     sample = _chunk_rows(rows.where(F.pmod(F.xxhash64(*_PLACE), F.lit(hot_share)) == 0), [])
     often = sample.groupBy("d1", "d2").count().where(F.col("count") >= hot_least).orderBy(F.desc("count"), "d1", "d2").limit(HOT_MOST)
-    hot = np.array([r.d1 for r in often.select("d1").collect()], np.int64)
-    chunks = _chunk_rows(rows, keep, hot)
-    of = Window.partitionBy("d1", "d2", "salt")
-    own = [F.min(order).over(of).alias("first"), ((F.min("__row").over(of) < F.max("__row").over(of)) | (F.min("__file").over(of) < F.max("__file").over(of))).alias("several")]
-    met = chunks.select("*", *own).where("several or salt > 0")
-    if len(hot):
-        counted = _chunk_rows(rows, keep, hot, hot_only=True).groupBy("d1", "d2").agg(F.min(order).alias("hot_first"), several.alias("hot_several"))
-        counted = F.broadcast(written(counted))  # as many as there are hot digests
-        met = met.join(counted, ["d1", "d2"], "left").withColumns({"first": F.when(F.col("salt") > 0, F.col("hot_first")).otherwise(F.col("first")), "several": F.when(F.col("salt") > 0, F.col("hot_several")).otherwise(F.col("several"))}).where("several")
-    start, size = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(4095)
-    return met.select(*_PLACE, start.alias("start"), (start + size).alias("end"), F.col("pos").bitwiseAND(4095).alias("half"), F.col("first.__id").alias("first"), (order > F.col("first")).alias("later"))
+    hot = {r.d1: r.d2 for r in often.select("d1", "d2").collect()}
+    # In the order of ids, the first and the last of a digest's rows are the same only if it has no other.
+    order = Window.partitionBy("d1", "d2").orderBy(F.col("__id").asc_nulls_last(), *_PLACE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {f"{end}_{c}": f(c).over(order) for end, f in (("first", F.first), ("last", F.last)) for c in _PLACE}
+    met = _chunk_rows(rows, keep, hot).withColumns(ends | {"first": F.first("__id").over(order)})
+    differ = lambda a, b: (F.col(f"{a}__file") != F.col(f"{b}__file")) | (F.col(f"{a}__row") != F.col(f"{b}__row"))
+    is_hot = F.col("pos").bitwiseAND(F.lit(_HOT)) != 0
+    met = met.where(differ("first_", "last_") | is_hot)
+    if hot:
+        by = [F.struct(F.col("__id").isNull().alias("n"), "__id", *_PLACE)]
+        found = _chunk_rows(rows, keep, hot, hot_only=True).groupBy("d1").agg(F.min(*by).alias("x"), F.max(*by).alias("y")).where("x.__file != y.__file or x.__row != y.__row")
+        found = written(found.select(F.col("d1").alias("hot"), F.col("x.__file").alias("x_file"), F.col("x.__row").alias("x_row"), F.col("x.__id").alias("x_id")))
+        met = met.join(F.broadcast(found), is_hot & (F.col("d1") == F.col("hot")), "left").where(~is_hot | F.col("hot").isNotNull())  # as many rows as hot digests
+        met = met.withColumns({c: F.when(is_hot, F.col(x)).otherwise(F.col(c)) for c, x in (("first___file", "x_file"), ("first___row", "x_row"), ("first", "x_id"))})
+    later = (F.col("first___file") != F.col("__file")) | (F.col("first___row") != F.col("__row"))
+    return met.select(*_PLACE, F.col("pos").bitwiseAND(F.lit(_HOT - 1)).alias("pos"), "first", later.alias("later"))
 
 
 def _runs(chunks: DataFrame, least_words: int, firsts: bool = False) -> DataFrame:
@@ -142,14 +152,16 @@ def _runs(chunks: DataFrame, least_words: int, firsts: bool = False) -> DataFram
     parts are its stretches of chunks that are all later ones or all not: arrays
     of start, end, 2 x half words + later.
     """
-    columns = [*_PLACE, "start", "end", "half", "later", *(["first"] if firsts else [])]
+    columns = [*_PLACE, "pos", "later", *(["first"] if firsts else [])]
+    start, size = F.shiftright("pos", 24), F.shiftright("pos", 12).bitwiseAND(4095)
+    met = chunks.select(*columns).repartition(*_PLACE).withColumns({"start": start, "end": start + size, "half": F.col("pos").bitwiseAND(4095)})
     order = Window.partitionBy(*_PLACE).orderBy("start")
     fresh = F.coalesce(F.col("start") != F.lag("end").over(order), F.lit(True))
     turn = fresh | F.coalesce(F.col("later") != F.lag("later").over(order), F.lit(True))
-    run = chunks.select(*columns).withColumns({"fresh": fresh.cast("int"), "turn": turn.cast("int")}).withColumns({"run": F.sum("fresh").over(order), "part": F.sum("turn").over(order)})
+    run = met.withColumns({"fresh": fresh.cast("int"), "turn": turn.cast("int")}).withColumns({"run": F.sum("fresh").over(order), "part": F.sum("turn").over(order)})
     firsts_of = [F.collect_set("first").alias("firsts")] if firsts else []
     part = run.groupBy(*_PLACE, "run", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("half").alias("half"), F.first("later").alias("later"), *firsts_of)
-    packed = F.array("start", "end", F.col("half") * 2 + F.col("later").cast("bigint"))
+    packed = F.array(*[c.cast("int") for c in (F.col("start"), F.col("end"), F.col("half") * 2 + F.col("later").cast("bigint"))])
     firsts_of = [F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("firsts")] if firsts else []
     spans = part.groupBy(*_PLACE, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("half").alias("half"), F.max("later").alias("later"), F.collect_list(packed).alias("parts"), *firsts_of)
     return spans.where(F.col("half") >= 2 * least_words)
@@ -191,8 +203,8 @@ def _cuts(rows: DataFrame, least_words: int) -> DataFrame:
     spans = _runs(_repeated(rows), least_words)
     parts = F.flatten(F.sort_array(F.flatten(F.collect_list("parts"))))
     cuts = written(spans.groupBy(F.col("__file").alias("__f"), F.col("__row").alias("__r")).agg(parts.alias("cuts")))
-    number, longs = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
-    return F.broadcast(cuts) if 48 * number + 8 * longs <= BROADCAST_BYTES else cuts
+    number, numbers = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
+    return F.broadcast(cuts) if 48 * number + 4 * numbers <= BROADCAST_BYTES else cuts
 
 
 def _at() -> Column:
@@ -206,7 +218,7 @@ def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
     base = offsets[0]
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[base : offsets[-1]]
     offsets = offsets - base
-    span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+    span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3).astype(np.int64)
     row = np.repeat(np.arange(len(text)), pc.list_value_length(cuts).to_numpy(zero_copy_only=False) // 3)
     gone = span[:, 2] % 2 == 1
     change = np.zeros(len(data) + 1, np.int32)
@@ -258,7 +270,7 @@ def cut_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def run(batches):
         for batch in batches:
             ids, text, cuts = batch.columns
-            span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            span = cuts.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3).astype(np.int64)
             parts = pa.StructArray.from_arrays([pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array((span[:, 2] // 2 + 1) // 2), pa.array(span[:, 2] % 2 == 1)], names=[f.name for f in passage])
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cuts).to_numpy(zero_copy_only=False) // 3)])
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts), without(text, cuts)], names=schema.names)
