@@ -195,16 +195,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return named.select(F.col("__id").alias(id_col), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.ceil(F.col("half") / 2).alias("n_words"), F.col("firsts").alias("first_ids"), F.col("later").alias("is_later"))
 
 
-def _cuts(rows: DataFrame, least_words: int) -> DataFrame:
-    """(__f, __r, cuts): by row, start, end and 2 x half words + later of every part of a passage, one after another; to be joined to texts.
+def _cuts(rows: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """((__f, __r, cuts): by row, start, end and 2 x half words + later of every part of a passage, one after another; the rows' places).
 
-    Broadcast while its counted bytes are few.
+    Places are to be broadcast, so that only texts with passages are shuffled to
+    the cuts; they are None where, counted, they are too many for that.
     """
     spans = _runs(_repeated(rows), least_words)
     parts = F.flatten(F.sort_array(F.flatten(F.collect_list("parts"))))
     cuts = written(spans.groupBy(F.col("__file").alias("__f"), F.col("__row").alias("__r")).agg(parts.alias("cuts")))
-    number, numbers = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
-    return F.broadcast(cuts) if 48 * number + 4 * numbers <= BROADCAST_BYTES else cuts
+    return cuts, F.broadcast(cuts.select("__f", "__r")) if cuts.count() * 16 <= BROADCAST_BYTES else None
 
 
 def _at() -> Column:
@@ -241,7 +241,13 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     names = docs.columns
     table, rows, at = _prepared(docs, text_col, id_col)
-    joined = table.join(_cuts(rows, least_words), _at(), "left").drop("__f", "__r", *_PLACE).withColumn(at, F.col(at).cast("string"))
+    cuts, places = _cuts(rows, least_words)
+    if places is None:
+        joined = table.join(cuts, _at(), "left")
+    else:
+        rest = table.join(places, _at(), "left_anti").withColumns({c: F.lit(None).cast(t) for c, t in cuts.dtypes})
+        joined = table.join(places, _at(), "left_semi").join(cuts.hint("shuffle_hash"), _at()).unionByName(rest)
+    joined = joined.drop("__f", "__r", *_PLACE).withColumn(at, F.col(at).cast("string"))
     schema = joined.drop("cuts").schema
     k = schema.names.index(at)
 
@@ -263,7 +269,9 @@ def cut_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Odd rows are as in substring_dedup() and repeated_spans().
     """
     table, rows, at = _prepared(docs, text_col, id_col)
-    joined = rows.join(_cuts(rows, least_words), _at()).select("__id", "__t", "cuts")
+    cuts, places = _cuts(rows, least_words)
+    some = rows if places is None else rows.join(places, _at(), "left_semi")
+    joined = some.join(cuts.hint("shuffle_hash"), _at()).select("__id", "__t", "cuts")
     passage = T.StructType([T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("is_later", T.BooleanType())])
     schema = T.StructType([T.StructField("__id", joined.schema["__id"].dataType), T.StructField("passages", T.ArrayType(passage)), T.StructField("__t", T.StringType())])
 
