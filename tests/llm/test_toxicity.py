@@ -30,7 +30,7 @@ def test_kernel_is_the_sum_over_shared_subsequences():
     words = ["idiot", "idixot", "stone", "banana", "ab", "idiots"]
     phi = tox.kernel_features(words)
     assert phi @ phi.T == pytest.approx(np.array([[brute_kernel(a, b) for b in words] for a in words]), abs=1e-5)
-    assert tox._kernel(words, phi) == pytest.approx(phi @ phi.T, abs=1e-5)
+    assert tox._kernel(words, phi)[0] == pytest.approx(phi @ phi.T, abs=1e-5)
     assert brute_kernel("idiot", "idxiot") > 3 * brute_kernel("idiot", "stone")
 
 
@@ -41,14 +41,38 @@ def test_folded_weights_score_as_the_landmarks_do():
     machine = tox.Machine((marks.T @ beta).astype(np.float32), -0.3, 0.0)
     words = ["idiot", "idiotic", "stones", "x", "", "..."]
     got = machine.words(words)
-    assert got[:3] == pytest.approx(tox._kernel(words[:3], marks) @ beta - 0.3, abs=1e-4)
+    assert got[:3] == pytest.approx(tox._kernel(words[:3], marks)[0] @ beta - 0.3, abs=1e-4)
     long = "abcdefgh" * 10 + "idiot" + "hgfedcba" * 10
     assert machine.words([long])[0] >= max(machine.words(["abcdefgh"])[0], -0.3) and np.isfinite(machine.words(["z" * 5000])[0])
 
 
 def test_spelt_out_words():
     assert "idiot" in tox.split_words("You I D I O T there") and tox.split_words(" \n") == []
-    assert tox.split_words("a b") == ["a", "b"]
+    assert tox.split_words("a b") == ["a", "b"] and "idiot" in tox.split_words("i  d\ni o   t")
+
+
+def test_long_words_are_learnt_by_all_their_windows():
+    long = "q" * 20 + "idiot" + "z" * 20
+    phi = tox.kernel_features([long, "idiot"])
+    kernel, word = tox._kernel([long, "idiot"], phi)
+    assert word.tolist() == [0] * (len(phi) - 1) + [1] and len(phi) > 3
+    assert kernel == pytest.approx(phi @ phi.T, rel=1e-4)
+    bags = [[f"stone{k}", f"river{k}"] for k in range(60)] + [[f"stone{k}", long] for k in range(60, 90)]
+    machine = tox.train(bags, [0] * 60 + [1] * 30)
+    assert machine.words([long])[0] > 0 > machine.words(["stone99"])[0]
+
+
+def test_wrong_labels_clear_no_insult():
+    """One in a hundred labels is wrong, so that clean documents hold insults too."""
+    rng = random.Random(12)
+    syllables = ["ba", "ren", "to", "mi", "kul", "sha", "dor", "ne", "ta", "vi", "gu", "len"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 4)))
+    bags = [[word() for _ in range(20)] + ([rng.choice(INSULTS)] if k % 4 == 0 else []) for k in range(1600)]
+    said = [int(k % 4 == 0) ^ int(rng.random() < 0.01) for k in range(1600)]
+    machine = tox.train(bags, said)
+    assert all(machine.words([w])[0] >= machine.cut for w in INSULTS)
+    fresh = [[word() for _ in range(20)] for _ in range(300)]
+    assert sum(machine.words(b).max() >= machine.cut for b in fresh) <= 6
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +107,8 @@ def test_held_out_documents(spark, corpus):
     # Scoring in Spark is scoring word by word.
     scored = {r.doc_id: r.toxicity for r in tox.score(docs, machine).collect()}
     assert all(scored[k] == pytest.approx(max(float(machine.words([w])[0]) for w in tox.split_words(t)), abs=1e-4) for k, t in rows[:40])
+    clash = tox.score(docs.selectExpr("text AS Text", "doc_id AS `a.b`", "'x' AS toxicity", "1 AS __text"), machine)
+    assert clash.columns == ["Text", "a.b", "__text", "toxicity"] and {r["a.b"]: r.toxicity for r in clash.collect()} == scored
     disguised = ["i d i o t", "s.t.u.p.i.d", "l-o-s-e-r", "idixot", "stuqpid", "pathzetic", "worthkless"]
     assert np.mean([machine.words(tox.split_words(d)).max() >= machine.cut for d in disguised]) >= 0.7
 

@@ -33,11 +33,13 @@ from .shingles import band_keys, shingles, signatures
 
 DECAY, SPAN, SYMBOLS = 0.7, 5, 32
 #: Weight of disguised insults against plain ones, and the machine's ridge.
-ODD, RIDGE = 0.5, 0.3
-#: Longer words are scored by windows of so many symbols, half overlapping.
+ODD, RIDGE = 0.8, 0.3
+#: Disguised forms made of each of the commonest insults, and how many of all are landmarks.
+ODD_FORMS, ODD_MARKS = 24, 128
+#: Longer words are learnt and scored by windows of so many symbols, half overlapping.
 WINDOW = 16
 CACHE_WORDS = 250_000
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){2,}")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S(?!\S)){2,}")
 
 
 class _Alphabet(dict):
@@ -93,15 +95,21 @@ def _codes(symbols: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return x[:, i] * (SYMBOLS * SYMBOLS) + x[:, j] * SYMBOLS + x[:, k]
 
 
-def kernel_features(words: list[str]) -> np.ndarray:
-    """Explicit features of short words: their kernel is the rows' inner product.  Long words count by their first window."""
+def _of_size(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(symbols, word of each window, (n, windows of n symbols, where they begin) for each n that has any)."""
     symbols, starts, lens = _symbols(words)
-    out = np.zeros((SYMBOLS**3, len(words)), np.float32)
-    for n in range(3, WINDOW + 1):
-        at = np.flatnonzero(np.minimum(lens, WINDOW) == n)
-        if len(at):
-            codes = _codes(symbols, starts[at], n)
-            np.add.at(out, (codes.ravel(), np.repeat(at, codes.shape[1])), np.tile(triples(n)[3], len(at)))
+    word, at, size = _windows(starts, lens)
+    found = ((n, np.flatnonzero(size == n)) for n in range(3, WINDOW + 1))
+    return symbols, word, [(n, which, at[which]) for n, which in found if len(which)]
+
+
+def kernel_features(words: list[str]) -> np.ndarray:
+    """Explicit features of the words' windows, short words being one: their kernel is the rows' inner product."""
+    symbols, word, sizes = _of_size(words)
+    out = np.zeros((SYMBOLS**3, len(word)), np.float32)
+    for n, which, at in sizes:
+        codes = _codes(symbols, at, n)
+        np.add.at(out, (codes.ravel(), np.repeat(which, codes.shape[1])), np.tile(triples(n)[3], len(which)))
     return out.T
 
 
@@ -186,29 +194,32 @@ def _nystroem(landmarks: np.ndarray) -> np.ndarray:
     return (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
 
 
-def _kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each word (its first window) with each landmark."""
-    symbols, starts, lens = _symbols(words)
+def _kernel(words: list[str], landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kernel of each window of the words with each landmark, the window's word)."""
+    symbols, word, sizes = _of_size(words)
     table = landmarks.T  # rows by triple, as kernel_features lays them out
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    size = np.minimum(lens, WINDOW)
-    for n in range(3, WINDOW + 1):
-        at = np.flatnonzero(size == n)
+    out = np.zeros((len(word), len(landmarks)), np.float32)
+    for n, which, at in sizes:
         weight = triples(n)[3]
-        for lo in range(0, len(at), 64):
-            some = at[lo : lo + 64]
-            out[some] = np.einsum("btl,t->bl", table[_codes(symbols, starts[some], n)], weight, optimize=True)
-    return out
+        for lo in range(0, len(which), 64):
+            some = which[lo : lo + 64]
+            out[some] = np.einsum("btl,t->bl", table[_codes(symbols, at[lo : lo + 64], n)], weight, optimize=True)
+    return out, word
 
 
-def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negatives: int = 12_000, sure: int = 6, rounds: int = 4, seed: int = 5) -> Machine:
+def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negatives: int = 12_000, blamed_most: int = 500, hard_most: int = 2000, sure: int = 6, ratio: float = 20.0, rounds: int = 4, seed: int = 5) -> Machine:
     """A machine from the words of documents labelled 1 (some word is toxic) or 0 (none is).
 
     Of documents that are near copies one is used.  A quarter is held out to
     place the cut, in the gap that separates the classes with the fewest errors.
-    Words that `sure` toxic documents have, and no other, are to blame; in
-    documents without one, those that the machine trained so far finds.  Without documents of
-    both classes nothing is ever toxic.
+    A word can be to blame if toxic documents have it `ratio` times as often as
+    clean ones, so that a wrong label or a quotation clears no insult.  Those that
+    `sure` toxic documents have are to blame; in documents without one, those that
+    the machine trained so far finds.  Every window of a long word is an example.
+    Without documents of both classes nothing is ever toxic.
+
+    The machine learns from at most `negatives` clean words, a third of them the
+    commonest, `hard_most` more that score high, and, where no word is sure, `blamed_most` words to blame.
     """
     rng = np.random.default_rng(seed)
     never = Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, np.inf)
@@ -221,37 +232,41 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
     if not bad or not good:
         return never
     clean = Counter(w for b in good for w in b)
-    blamed = Counter(w for b in bad for w in b if w not in clean)
-    if not blamed:
+    blamed = Counter(w for b in bad for w in b)
+    blamed = Counter({w: n for w, n in blamed.items() if n * len(good) >= ratio * clean[w] * len(bad)})
+    clean = Counter({w: n for w, n in clean.items() if w not in blamed})
+    if not blamed or not clean:
         return never
     common = [w for w, _ in clean.most_common(negatives // 3)]
     rest = sorted(set(clean) - set(common))
     clean_words = common + [rest[i] for i in rng.permutation(len(rest))[: negatives - len(common)]]
-    # Words that several toxic documents have and no other one does are to blame in any case.
+    # Words that several toxic documents have and hardly any other one does are to blame in any case.
     given = {w: float(n) for w, n in blamed.items() if n >= sure}
     open_bags = [b for b in bad if not any(w in given for w in b)]
-    positives = given or {w: float(n) for w, n in blamed.most_common(500)}
+    positives = given or {w: float(n) for w, n in blamed.most_common(blamed_most)}
     machine, every = never, sorted(clean)
     hard: list[str] = []
     for step in range(rounds):
         words = sorted(positives)
         half = landmarks // 2
         top = sorted(words, key=lambda w: (-positives[w], w))[:half]
-        chosen = top + hard[: half // 2] + [clean_words[i] for i in rng.permutation(len(clean_words))[: landmarks - len(top) - len(hard[: half // 2])]]
+        odd = [d for k in range(ODD_FORMS) for d in _disguised(top if k < 3 else top[:32], rng)] if step else []
+        chosen = top + odd[: ODD_MARKS] + hard[: half // 2] + [clean_words[i] for i in rng.permutation(len(clean_words))[: landmarks - len(top) - len(hard[: half // 2])]]
         feats = kernel_features(list(dict.fromkeys(chosen)))
         if not (some := feats.any(axis=1)).all():
             feats = np.ascontiguousarray(feats.T[:, some]).T
         root = _nystroem(feats)
-        odd = [d for k in range(12) for d in _disguised(top if k < 3 else top[:32], rng)] if step else []
         sample = words + odd + clean_words + hard
-        z = np.ones((len(sample), root.shape[1] + 1), np.float32)
-        np.matmul(_kernel(sample, feats), root.astype(np.float32), out=z[:, :-1])
+        kernel, word = _kernel(sample, feats)
+        z = np.ones((len(word), root.shape[1] + 1), np.float32)
+        np.matmul(kernel, root.astype(np.float32), out=z[:, :-1])
         bad_ones = len(words) + len(odd)
         y = np.concatenate([np.ones(bad_ones), -np.ones(len(sample) - bad_ones)])
         share = np.sqrt(np.array([positives[w] for w in words]))
         share = np.concatenate([share / share.sum(), np.full(len(odd), ODD / max(1, len(odd)))])
         weight = np.concatenate([share / share.sum(), np.full(len(sample) - bad_ones, 1 / (len(sample) - bad_ones))]) * len(sample)
-        w = _svm(z, y, weight, ridge=RIDGE)
+        weight = np.where(y > 0, weight / np.bincount(word, minlength=len(sample)), weight)  # a word to blame shares its weight among its windows
+        w = _svm(z, y[word], weight[word], ridge=RIDGE)
         machine = Machine((feats.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 0.0)
         # Blame what this finds in documents without a given word; keep the clean words that score high.
         asked = list({w for b in open_bags for w in b if w in blamed})
@@ -261,7 +276,7 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = 384, negativ
             found.update(w for w in b if scored.get(w, -1.0) > 0.5)
         positives = (given | {w: float(n) for w, n in found.items()}) or positives
         got = np.concatenate([machine.words(every[lo : lo + 50_000]) for lo in range(0, len(every), 50_000)])
-        hard = [every[i] for i in np.argsort(-got)[:2000]]
+        hard = [every[i] for i in np.argsort(-got, kind="stable")[:hard_most]]
     best = [(float(machine.words(sets[i]).max()) if sets[i] else -np.inf, int(toxic[i])) for i in held]
     machine.cut = _cut(best)
     return machine
@@ -284,29 +299,34 @@ def _cut(scored: list[tuple[float, int]]) -> float:
     return float((2 * edges[at] + edges[at + 1]) / 3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", toxic_docs: int = 2000, clean_docs: int = 6000, longest: int = 100_000, seed: int = 5) -> Machine:
-    """A machine trained on at most toxic_docs and clean_docs labelled documents, of up to `longest` characters.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", toxic_docs: int = 2000, clean_docs: int = 6000, seed: int = 5, **how) -> Machine:
+    """A machine trained on at most toxic_docs and clean_docs labelled documents, whole, however long; how: bounds on words, see train().
 
-    The sample, the training set's only bound, holds the least seeded hashes of
-    ids.  A document with several labels is toxic if one says so; rows with
-    null ids, labels or texts are left out.
+    The sample holds the least seeded hashes of ids.  A document with several
+    labels is toxic if one says so; rows with null ids, labels or texts are left out; of rows
+    with one id each counts.  Only documents' distinct words are shuffled.
     """
     given, place = positional(labels)
     own = given.select(F.col(place(id_col)).alias("__id"), F.col(place(label_col)).cast("int").alias("__toxic")).dropna().groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     key = F.xxhash64("__id", F.lit(seed))
     chosen = own.where("__toxic = 1").orderBy(key, "__id").limit(toxic_docs).union(own.where("__toxic = 0").orderBy(key, "__id").limit(clean_docs))
-    rows = narrowed(docs, [id_col], text_col)[0].toDF("__id", "__text").where(F.length("__text").between(1, longest))
-    sample = rows.join(F.broadcast(chosen), "__id")  # of bounded size on either side
+    rows = narrowed(docs, [id_col], text_col)[0].toDF("__id", "__text").where(F.length("__text") > 0)
+    sample = rows.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id", "__text").alias("h"), F.col("__toxic").alias("toxic"), "__text")  # of bounded size on either side
+
+    def bag(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        words = pa.array(["\n".join(sorted(set(split_words(t)))) for t in texts], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), words], names=["h", "toxic", "words"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         claim("training", triples.cache_clear)
-        frame = frame.sort_values(["__id", "__text"], kind="stable")
+        frame = frame.sort_values(["h", "words"], kind="stable")
         one: dict[str, str] = {}
-        bags = [[one.setdefault(w, w) for w in set(split_words(t))] for t in frame["__text"]]
-        return pd.DataFrame({"model": [pickle.dumps(train(bags, frame["__toxic"].tolist(), seed=seed))]})
+        bags = [[one.setdefault(w, w) for w in t.split("\n") if w] for t in frame["words"]]
+        return pd.DataFrame({"model": [pickle.dumps(train(bags, frame["toxic"].tolist(), seed=seed, **how))]})
 
     # Trained by one task on an executor; the driver gets one weight per triple.
-    made = sample.groupBy().applyInPandas(learn, "model binary").collect()
+    bags = map_text(sample, "__text", "h bigint, toxic int, words string", bag)
+    made = bags.groupBy().applyInPandas(learn, "model binary").collect()
     return pickle.loads(made[0][0]) if made else train([], [])
 
 
@@ -333,14 +353,19 @@ def _scores(raw: bytes) -> _Scores:
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """Adds score_col, the score of each text's most toxic word, in one pass without a shuffle; null for texts without words.
 
-    Null and empty texts have no words.  Texts of any length are read whole.  A
-    column called score_col is replaced; others pass through.
+    Null and empty texts have no words.  Texts of any length are read whole;
+    repeated rows are each scored.  A column called score_col is replaced; others pass through,
+    whatever their names.  An empty table gives an empty table.
     """
-    names = [c for c in docs.columns if c != score_col]
+    columns, at = positional(docs)
+    kept = [(f"c{i}", n) for i, n in enumerate(docs.columns) if n != score_col]
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))
-    same = dict(docs.dtypes)[text_col] == "string"
-    source = docs.select(*names) if same else docs.select(*names, F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = T.StructType([*docs.select(*names).schema, T.StructField(score_col, T.DoubleType(), True)])
+    text_at = at(text_col)
+    same = dict(columns.dtypes)[text_at] == "string" and text_at in dict(kept)
+    own = columns.select(*[c for c, _ in kept])
+    source = own if same else columns.select(*[c for c, _ in kept], F.col(text_at).cast("string").alias("__text"))
+    names = [c for c, _ in kept]
+    schema = T.StructType([*own.schema, T.StructField("__score", T.DoubleType(), True)])
 
     def run(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
         claim("toxicity", _scores.cache_clear)
@@ -358,18 +383,19 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
         if full.any():
             out[full] = np.maximum.reduceat(values, (np.cumsum(counts) - counts)[full])
         column = pa.array(out, mask=~full)
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], column], names=[*names, score_col])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], column], names=[*names, "__score"])
 
-    return map_text(source, text_col if same else "__text", schema, run)
+    return map_text(source, text_at if same else "__text", schema, run).toDF(*[n for _, n in kept], score_col)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs found toxic: id_col, toxic (true), toxicity.
 
     The machine is trained on the labels (see fit) and applied to every row,
-    labelled or not.  Rows without words are not toxic.  Null ids are scored as
-    others.  Repeated rows are each reported.  Without labels of both classes,
-    or for an empty table, the result is empty.
+    labelled or not.  Rows without words are not toxic; texts of any length are read whole.
+    Null ids are scored as others; ids may be of any type that labels have too.  Repeated rows are each
+    reported, and scores that tie are as they are: a row at the cut is toxic.  Other columns are ignored, whatever their names.
+    Without labels of both classes, or for an empty table, the result is empty.
     """
     machine = fit(docs, labels, text_col, id_col, **how)
     found = score(narrowed(docs, [id_col], text_col)[0], machine, "t").where(F.col("toxicity") >= F.lit(machine.cut))
@@ -377,10 +403,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows found toxic; rows without words stay; the columns are those of docs, whatever their names."""
+    """docs without the rows found toxic, as toxic_documents() finds them; the columns are those of docs, whatever their names.
+
+    Rows without words, of null or empty texts, stay; so do rows with a null id
+    that aren't toxic.  Texts of any length are read whole.  Rows that repeat stay, or go,
+    together.  Without labels of both classes all rows stay.  An empty table
+    gives an empty table.
+    """
     machine = fit(docs, labels, text_col, id_col, **how)
     names = docs.columns
     renamed, at = positional(docs)
-    kept = score(renamed, machine, at(text_col), "__toxicity")
+    kept = score(renamed, machine, at(text_col), "__toxicity")  # the columns are c0, c1, ... here
     clean = F.col("__toxicity").isNull() | (F.col("__toxicity") < F.lit(machine.cut))
     return kept.where(clean).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
