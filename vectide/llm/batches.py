@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -125,10 +127,16 @@ _held: dict[str, Callable[[], object]] = {}
 
 
 def claim(owner: str, release: Callable[[], object]) -> None:
-    """Called in a Python worker by the operator that uses it: what other operators cached there is let go."""
-    for other in [o for o in _held if o != owner]:
+    """Called in a Python worker by the operator that uses it: what other operators cached there is let go, and goes back to the system."""
+    others = [o for o in _held if o != owner]
+    for other in others:
         _held.pop(other)()
     _held[owner] = release
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -314,6 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     sample = rows.join(F.broadcast(chosen), "__id").select(F.xxhash64("__id", "__text").alias("h"), F.col("__toxic").alias("toxic"), "__text")  # of bounded size on either side
 
     def bag(batch: pa.RecordBatch, lo: int, texts: list[str]) -> pa.RecordBatch:
+        claim("training", triples.cache_clear)  # every worker, not that of the training alone, lets go of what others cached
         words = pa.array(["\n".join(sorted(set(split_words(t)))) for t in texts], pa.string())
         return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), words], names=["h", "toxic", "words"])
 
