@@ -59,6 +59,8 @@ def test_tokens(spark):
     found = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(tokens(F.col("t"))).collect()
     assert found[0][0] == ["hello", "world", "this", "is", "test", "élan", "é", "中"] == query_tokens(text)
     assert found[1][0] == [] and found[2][0] is None
+    for text in ("हिन्दी भाषा", "ภาษาไทย", "İstanbul ǅ", "a\u0300b ½ x² ⅷ", "_ - '"):
+        assert spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t"))).first()[0] == query_tokens(text)
 
 
 def test_json_values(spark):

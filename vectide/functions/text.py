@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
@@ -16,6 +14,5 @@ def tokens(text: Column) -> Column:
 
 
 def query_tokens(text: str) -> list[str]:
-    """tokens() of a known text, on the driver."""
-    words = re.findall(r"[^\W_]+", text.lower())
-    return [w for w in words if len(w.encode("utf-8")) > 1]
+    """tokens() of a known text, by the same expression over one row, so that queries and documents are split alike in every script."""
+    return SparkSession.active().range(1).select(tokens(F.lit(text))).first()[0]

@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InternalError
 from ..functions import values
 from ..operators import ann, bm25, filters, fusion, search
+from ..operators.merge import last_wins
 from ..schema import DEFAULT_INDEX, DEFAULT_METRIC, ROWS, CollectionConfig, check_top_k, check_vector
 from ..sources.files import shared_dir
 from ..sources.store import CollectionStore, DatabaseStore
@@ -61,7 +62,8 @@ class Collection:
     def upsert_df(self, rows: DataFrame, order: str | None = None) -> None:
         """Adds or replaces the rows of a DataFrame (id, vector, and optionally metadata and document).
 
-        Of rows with one id that of the greatest `order` wins.  metadata may be a
+        Of rows with one id that of the greatest `order` wins (nulls lose); of equal ones, or without order, one
+        that is chosen once, as it is written.  metadata may be a
         VARIANT, JSON text, or a struct.  A null id, a vector of another length or with
         components that are not finite fails the write; nothing is committed then.
         """
@@ -75,8 +77,11 @@ class Collection:
             own = F.col("metadata") if kind == "variant" else F.parse_json("metadata") if kind == "string" else F.parse_json(F.to_json("metadata"))
             meta = F.coalesce(own, meta)
         doc = F.col("document").cast("string") if "document" in types else F.lit(None).cast("string")
-        seq = F.dense_rank().over(Window.partitionBy("id").orderBy(order)) if order else F.monotonically_increasing_id() % F.lit(1 << 39)
-        self._store.add(rows.select(F.col("id").cast("string").alias("id"), checked.alias("vector"), meta.alias("metadata"), doc.alias("document"), seq.cast("bigint").alias("seq")))
+        by = [F.col(order).alias("__order")] if order else []
+        found = rows.select(F.col("id").cast("string").alias("id"), checked.alias("vector"), meta.alias("metadata"), doc.alias("document"), F.monotonically_increasing_id().alias("seq"), *by)
+        if order:  # one row per id is written; the vector's size is the same for all, but makes sure that each is checked
+            found = last_wins(found.withColumn("__size", F.size("vector")), "id", ("__order", "__size", "seq")).drop("__order", "__size")
+        self._store.add(found)
 
     def delete(self, ids: Sequence[str]) -> list[bool]:
         """Deletes rows; for each id, in order, whether it was there (a repeated id only the first time)."""

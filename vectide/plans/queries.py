@@ -307,8 +307,8 @@ def hybrid_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents WHERE lang = 'en') SELECT doc_id, round(0.3 / (60 + a.r) + coalesce(0.7 / (60 + b.r), 0), 9) AS score FROM a LEFT JOIN b USING (doc_id)")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    a = fusion.ranked(docs, F.desc("n_chars"), "doc_id", key="doc_id")
-    b = fusion.ranked(docs.where("lang = 'en'"), "n_chars", "doc_id", key="doc_id")
+    a = fusion.ranked_all(docs, F.desc("n_chars"), "doc_id", key="doc_id")
+    b = fusion.ranked_all(docs.where("lang = 'en'"), "n_chars", "doc_id", key="doc_id")
     return fusion.rrf(a, b, 0.3, key="doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 

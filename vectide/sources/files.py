@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import StorageError
@@ -41,18 +43,54 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Writes beside the file and renames over it, so that readers see the old text or the new."""
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files in a folder."""
+        return self._fs(name).getContentSummary(self.path(name)).getLength()
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return (self.jvm.java.lang.System.currentTimeMillis() - self._fs(name).getFileStatus(self.path(name)).getModificationTime()) / 1000
+
+    def _beside(self, name: str, text: str) -> str:
         beside = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self._fs(beside).create(self.path(beside), True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(name).toUri(), self.conf) if "://" in name else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
+        return beside
+
+    def _rename(self, old: str, new: str, how: str) -> None:
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(new).toUri(), self.conf) if "://" in new else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        context.rename(self.path(beside), self.path(name), options)
+        options[0] = getattr(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), how)
+        context.rename(self.path(old), self.path(new), options)
+
+    def write(self, name: str, text: str) -> None:
+        """Writes beside the file and renames over it, so that readers see the old text or the new."""
+        self._rename(self._beside(name, text), name, "OVERWRITE")
+
+    def create(self, name: str, text: str) -> bool:
+        """Writes a file, whole, unless it is there already; whether it did.
+
+        Of several writers one succeeds: a rename that must not overwrite is one
+        step of the file system (HDFS; a hard link where files are local).
+        """
+        beside = self._beside(name, text)
+        try:
+            if self._fs(name).getUri().getScheme() == "file":
+                os.link(self.path(beside).toUri().getPath(), self.path(name).toUri().getPath())
+            else:
+                self._rename(beside, name, "NONE")
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            self.delete(beside)
 
 
 def shared_dir(spark: SparkSession) -> str:
