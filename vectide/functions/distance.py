@@ -116,3 +116,24 @@ def distances(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarr
         return -products
     norms = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
     return np.where(norms == 0, 1.0, 1.0 - products / np.where(norms == 0, 1.0, norms))
+
+
+def _sums(terms: np.ndarray) -> np.ndarray:
+    """Row sums, added from the first component to the last, as SQL does; the same for the same row, wherever it stands."""
+    return np.add.accumulate(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))
+
+
+def squares(vectors: np.ndarray) -> np.ndarray:
+    """Squared lengths of a matrix's rows."""
+    return _sums(vectors * vectors)
+
+
+def pair_distances(vectors: np.ndarray, queries: np.ndarray, v_squares: np.ndarray, q_squares: np.ndarray, metric: str) -> np.ndarray:
+    """Distances between the rows of two matrices of doubles, one by one, with their squares() given."""
+    if metric == "euclidean":
+        return np.sqrt(squares(vectors - queries))
+    products = _sums(vectors * queries)
+    if metric == "dot":
+        return 0.0 - products
+    norms = np.sqrt(v_squares * q_squares)
+    return np.where(norms == 0, 1.0, 1.0 - np.clip(products / np.where(norms == 0, 1.0, norms), -1.0, 1.0))

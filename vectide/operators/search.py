@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import distance_to, distances
-from ..schema import check_top_k
+from ..functions.distance import distance_to
+from ..schema import check_top_k, metric_name
+from .stream import nearest_of_blocks
 
-#: Bytes of query vectors that are broadcast at most; more are searched in as many passes as needed.
+#: Bytes of queries, with their nearest so far, that a task holds at most.
 QUERY_BYTES = 32 << 20
-#: Rows by queries of one matrix product.
-PRODUCT = (4096, 512)
 
 
 def fetch_k(top_k: int) -> int:
@@ -48,46 +45,27 @@ def nearest_filtered(rows: DataFrame, query: Sequence[float], top_k: int, keep:
 def batch_nearest(rows: DataFrame, queries: DataFrame, top_k: int, metric: str = "cosine", row_id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """(query_id, row id, score, rank from 1) of the top_k rows nearest to each query; ties by row id.
 
-    The queries are gathered, their size checked, and sent to where the rows
-    are; batches of rows meet them in products of bounded size, of which every
-    query's top_k go on to a shuffle by query.  More queries than QUERY_BYTES allow are
-    searched pass by pass.
+    Every pair is looked at.  Each task holds a block of the queries, past which all
+    rows stream (see `stream`), so that only top_k rows a query are shuffled.
+    Null vectors, of rows or queries, are left out.
     """
-    k = check_top_k(top_k)
-    found = queries.select(query_id, query_vector).toPandas() if queries.count() else None
-    spark = rows.sparkSession
-    id_type = dict(rows.dtypes)[row_id]
-    schema = f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{row_id}` {id_type}, score double"
-    if found is None or k == 0:
-        empty = spark.createDataFrame([], schema)
+    k, metric = check_top_k(top_k), metric_name(metric)
+    known = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("asked"), F.col(query_vector).cast("array<float>").alias("query"))
+    some = rows.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("row"), F.col(vector).cast("array<float>").alias("vector"), F.lit(0).alias("cell"))
+    asked, width = known.agg(F.count("*"), F.coalesce(F.max(F.size("query")), F.lit(0))).first()
+    if not asked or not k:
+        empty = rows.sparkSession.createDataFrame([], f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{row_id}` {dict(rows.dtypes)[row_id]}, score double")
         return empty.withColumn("rank", F.lit(0))
-    matrix = np.stack([np.asarray(v, np.float32) for v in found[query_vector]])
-    names = pa.array(found[query_id])
-    step = max(1, QUERY_BYTES // max(1, matrix.shape[1] * 4))
-    parts = []
-    for lo in range(0, len(matrix), step):
-        shipped = spark.sparkContext.broadcast((matrix[lo : lo + step], names.slice(lo, step)))
-
-        def run(batches, shipped=shipped):
-            wanted, ids = shipped.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, PRODUCT[0]):
-                    part = batch.slice(at, PRODUCT[0])
-                    keys = part.column(0)
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    n = min(k, part.num_rows)
-                    for first in range(0, len(wanted), PRODUCT[1]):
-                        d = distances(flat, wanted[first : first + PRODUCT[1]], metric)
-                        if n < part.num_rows:  # whatever ties with the n-th goes on as well
-                            edge = np.partition(d, n - 1, axis=0)[n - 1]
-                            r, q = np.nonzero(d <= edge)
-                        else:
-                            r, q = np.nonzero(np.ones_like(d, bool))
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), keys.take(pa.array(r)), pa.array(d[r, q])], names=[query_id, row_id, "score"])
-
-        parts.append(rows.where(F.col(vector).isNotNull()).select(row_id, F.col(vector).cast("array<float>")).mapInArrow(run, schema))
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.union(p)
+    near = nearest_of_blocks(some, known, k, metric, (asked, some.count()), (query_id, row_id, "score"), lambda n: queries_held(width, n))
+    return ranked_by_query(near, k, query_id, row_id)
+
+
+def queries_held(width: int, k: int) -> int:
+    """How many queries of `width` components a task holds at most."""
+    return max(1, QUERY_BYTES // (4 * max(1, width) + 16 * k))
+
+
+def ranked_by_query(near: DataFrame, k: int, query_id: str, row_id: str) -> DataFrame:
+    """With `rank`, the k least scores of each query; ties by row id."""
     order = Window.partitionBy(query_id).orderBy("score", row_id)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
