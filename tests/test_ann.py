@@ -65,3 +65,21 @@ def test_collections_keep_recall_whatever_top_k_is(spark, monkeypatch):
         for k in (10, 100):
             some = [{r["id"] for r in c.query(m[q].tolist(), k, {"third": 1})} for c in (near, flat)]
             assert len(some[0]) == len(some[1]) == k and len(some[0] & some[1]) >= 0.9 * k
+
+
+def test_batches_read_the_same_cells_by_part_of_the_order():
+    rng = np.random.default_rng(3)
+    q, centroids, sizes = rng.normal(size=(50, 8)), rng.normal(size=(90, 8)), rng.integers(0, 9, 90)
+    for least in ((3, 14), (20, 0), (3, 200), (90, 0)):
+        whole, part = ann._by_nearness(q, centroids, "euclidean"), ann._by_nearness(q, centroids, "euclidean", sizes, *least)
+        reach = ann._reach(whole, sizes, *least)
+        assert (reach == ann._reach(part, sizes, *least)).all()
+        assert all((whole[i, : reach[i]] == part[i, : reach[i]]).all() for i in range(50))
+
+
+def test_what_batches_find_is_not_shuffled_by_cells(spark, tmp_path):
+    m, rows = made(spark, 900)
+    path = f"file://{tmp_path}/index"
+    ann.AnnIndex.write(rows, path, "cosine")
+    found = ann.AnnIndex.open(spark, path).batch_search(rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 7)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 6300

@@ -9,36 +9,32 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import distances
 from ..schema import check_top_k
 from ..sources.files import Files
-from .search import nearest
+from .search import nearest, queries_held, ranked_by_query
+from .stream import matrix, nearest_of_blocks, unit
 
 #: Tables of fewer rows are searched exactly.
 EXACT_BELOW = 100_000
-#: Rows, and queries, of a cell that meet in one task at most; more are split.
+#: Queries that a task holds at most.
 BLOCK = 20_000
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.sqrt((m * m).sum(1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
 def _cluster(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Centroids of a bounded sample, by Lloyd's rounds."""
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        own = distances(sample, centroids, "euclidean").argmin(1)
+        own = _far(sample, centroids).argmin(1)
         for c in range(len(centroids)):
             members = sample[own == c]
             centroids[c] = members.mean(0) if len(members) else sample[rng.integers(len(sample))]
@@ -65,7 +61,7 @@ class AnnIndex:
         total = rows.count()
         picked = rows.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector, F.lit(seed))).limit(sample).toPandas()
         points = np.stack([np.asarray(v, np.float64) for v in picked[vector]])
-        route = points if metric == "euclidean" else _unit(points)
+        route = points if metric == "euclidean" else unit(points)
         cells = cells or max(1, min(4096, int(math.sqrt(max(1, total)))))
         centroids = _cluster(route, cells, seed)
         curve = _fit_probes(points, route, centroids, metric, recall, k)
@@ -76,9 +72,9 @@ class AnnIndex:
         def assign(batches):
             centers, m = shipped.value
             for batch in batches:
-                column = batch.column(names.index(vector))
-                flat = np.array([np.asarray(v) if v is not None else np.zeros(centers.shape[1]) for v in column.to_pylist()], np.float64).reshape(batch.num_rows, -1)
-                own = distances(flat if m == "euclidean" else _unit(flat), centers, "euclidean").argmin(1) if batch.num_rows else np.zeros(0, np.int64)
+                flat = np.zeros((batch.num_rows, centers.shape[1]))
+                flat[:] = matrix(batch.column(names.index(vector))) if batch.num_rows - batch.column(names.index(vector)).null_count else 0
+                own = _far(flat if m == "euclidean" else unit(flat), centers).argmin(1) if batch.num_rows else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*names, "cell"])
 
         rows.mapInArrow(assign, schema).repartition("cell").write.partitionBy("cell").parquet(f"{path}/rows")
@@ -112,60 +108,49 @@ class AnnIndex:
     def batch_search(self, queries: DataFrame, top_k: int, probes: int | None = None, row_id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
         """(query_id, row id, score, rank from 1): search() for every row of queries; ties by row id.
 
-        Queries go to the cells that they read.  A cell's rows and queries meet in
-        blocks of about BLOCK by BLOCK, each searched by matrix products, and every
-        query's top_k of each block are shuffled.  Null vectors are left out.
+        Each task holds a block of the queries, of BLOCK at most, and the cells stream
+        past it (see `stream`): each meets the queries that read it, and only top_k
+        rows a query are shuffled.  Null vectors are left out.
         """
         k, spark, metric = check_top_k(top_k), self.rows.sparkSession, self.metric
-        types, asked_types = dict(self.rows.dtypes), dict(queries.dtypes)
-        schema = f"`{query_id}` {asked_types[query_id]}, `{row_id}` {types[row_id]}, score double"
-        if k == 0:
-            return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+        known = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("asked"), F.col(query_vector).cast("array<float>").alias("query"))
+        asked = known.count()
+        if k == 0 or not asked:
+            return spark.createDataFrame([], f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{row_id}` {dict(self.rows.dtypes)[row_id]}, score double").withColumn("rank", F.lit(0))
         shipped = spark.sparkContext.broadcast((self.centroids, self.sizes, self.least(k, probes)))
 
-        def route(batches):
+        def route(vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             centroids, sizes, least = shipped.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    order = _by_nearness(_matrix(part.column(1)), centroids, metric)
-                    one, at_cell = np.nonzero(np.arange(order.shape[1]) < _reach(order, sizes, *least)[:, None])
-                    own = pa.array(one)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(order[one, at_cell].astype(np.int32))], names=["asked", "query", "cell"])
-
-        def match(rows: pa.Table, asked: pa.Table) -> pa.Table:
-            rows = rows.sort_by("row")
-            keys, ids = rows.column("row").combine_chunks(), asked.column("asked").combine_chunks()
-            n, found = min(k, len(rows)), []
-            v, q = (_matrix(t.column(c).combine_chunks()) if len(t) else None for t, c in ((rows, "vector"), (asked, "query")))
-            for at in range(0, len(ids) if n else 0, 256):
-                d = distances(v, q[at : at + 256], metric).T
-                edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                less, ties = d < edge, d == edge
-                one, r = np.nonzero(less | ties & (ties.cumsum(1) <= n - less.sum(1, keepdims=True)))
-                found.append(pa.table([ids.take(pa.array(one + at)), keys.take(pa.array(r)), pa.array(d[one, r])], names=[query_id, row_id, "score"]))
-            return pa.concat_tables(found) if found else pa.table([ids[:0], keys[:0], pa.array([], pa.float64())], names=[query_id, row_id, "score"])
+            read = []
+            for at in range(0, len(vectors), 1024):
+                order = _by_nearness(vectors[at : at + 1024], centroids, metric, sizes, *least)
+                one, place = np.nonzero(np.arange(order.shape[1]) < _reach(order, sizes, *least)[:, None])
+                read.append((order[one, place].astype(np.int32), (one + at).astype(np.int32)))
+            cell, one = (np.concatenate(x) for x in zip(*read, strict=True))
+            by = np.argsort(cell, kind="stable")
+            cell, one = cell[by], one[by]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            yield from zip(cell[first].tolist(), np.split(one, first[1:]), strict=True)
 
-        known = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("asked"), F.col(query_vector).cast("array<float>").alias("query"))
-        routed = known.mapInArrow(route, f"asked {asked_types[query_id]}, query array<float>, cell int")
-        rows = self.rows.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("row"), F.col(vector).alias("vector"), "cell")
-        row_blocks, query_blocks = _blocks(rows), _blocks(routed)
-        left = rows.withColumn("part", F.pmod(F.xxhash64("row"), row_blocks).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
-        right = routed.withColumn("turn", F.pmod(F.xxhash64("asked"), query_blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
-        by = ("cell", "part", "turn")
-        near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(match, schema)
-        order = Window.partitionBy(query_id).orderBy("score", row_id)
-        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        rows = self.rows.where(F.col(vector).isNotNull()).select(F.col(row_id).alias("row"), F.col(vector).cast("array<float>").alias("vector"), "cell")
+        near = nearest_of_blocks(rows, known, k, metric, (asked, int(self.sizes.sum())), (query_id, row_id, "score"), lambda n: min(BLOCK, queries_held(self.centroids.shape[1], n)), route)
+        return ranked_by_query(near, k, query_id, row_id)
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+def _far(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """What orders centroids by their Euclidean distance to each point: its square less the point's own."""
+    return (centroids * centroids).sum(1) - 2.0 * (points @ centroids.T)
 
 
-def _by_nearness(queries: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
-    """The cells from the nearest on, for each query."""
+def _by_nearness(queries: np.ndarray, centroids: np.ndarray, metric: str, sizes: np.ndarray | None = None, cells: int = 0, rows: int = 0) -> np.ndarray:
+    """The cells from the nearest on, for each query; with sizes, so many for all queries as are enough for _reach()."""
     route = np.asarray(queries, np.float64)
-    return np.argsort(distances(route if metric == "euclidean" else _unit(route), centroids, "euclidean"), axis=1, kind="stable")
+    far, n = _far(route if metric == "euclidean" else unit(route), centroids), max(2 * cells, 16)
+    if sizes is None or n >= len(centroids):
+        return np.argsort(far, axis=1, kind="stable")
+    order = np.argpartition(far, n, axis=1)[:, :n]
+    order = np.take_along_axis(order, np.argsort(np.take_along_axis(far, order, 1), axis=1, kind="stable"), 1)
+    return order if (sizes[order].sum(1) >= rows).all() else np.argsort(far, axis=1, kind="stable")
 
 
 def _reach(order: np.ndarray, sizes: np.ndarray, cells: int, rows: int) -> np.ndarray:
@@ -173,17 +158,9 @@ def _reach(order: np.ndarray, sizes: np.ndarray, cells: int, rows: int) -> np.nd
     return np.clip((sizes[order].cumsum(1) < rows).sum(1) + 1, cells, order.shape[1]) if cells < order.shape[1] else np.full(len(order), order.shape[1])
 
 
-def _blocks(rows: DataFrame) -> Column:
-    """How many blocks the rows of a cell make, by `cell`; at most 4,096 counts are read, and only large cells are written out."""
-    many = {r["cell"]: -(-r["count"] // BLOCK) for r in rows.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
-    if not many:
-        return F.lit(1)
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("cell")], F.lit(1))
-
-
 def _fit_probes(points: np.ndarray, route: np.ndarray, centroids: np.ndarray, metric: str, recall: float, k: int) -> list[tuple[float, int]]:
     """For the sample's k, 2 k, 4 k ... nearest: (their share of it, cells to read so that `recall` of them are found for 200 of its points)."""
-    own = distances(route, centroids, "euclidean")
+    own = _far(route, centroids)
     cell = own.argmin(1)
     asked = np.linspace(0, len(points) - 1, min(200, len(points))).astype(int)
     d = distances(points, points[asked], metric)
