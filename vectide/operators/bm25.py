@@ -15,6 +15,9 @@ from ..schema import check_top_k
 
 K1, B = 1.2, 0.75
 VARIANTS = ("reference", "okapi")
+#: Words that one task of an index's writing sorts, as far as WRITERS tasks are enough for that; up to
+#: 200 a shuffle's map side holds no rows in memory, and beyond them sorts spill.
+TASK_WORDS, WRITERS = 2_000_000, 200
 
 
 def term_score(tf: Column, spread: Column, length: Column, n: Column, average: Column, variant: str) -> Column:
@@ -66,7 +69,7 @@ def search(docs: DataFrame, query: str, top_k: int | None, variant: str = "refer
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index as a table (term, id, tf, length), parted by a hash of the term and sorted by it.
+    """An inverted index as a table (term, id, tf, length), parted by a hash of the term; each file is sorted by it.
 
     A search reads the parts of its words only, and of these the row groups that
     have them.  Statistics of the corpus are one row beside it.
@@ -78,11 +81,20 @@ class TextIndex:
 
     @staticmethod
     def write(docs: DataFrame, path: str, parts: int = 64, text: str = "document", key: str = "id") -> None:
-        some = docs.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("ts"))
-        words = some.select(key, F.size("ts").alias("length"), F.explode("ts").alias("term"))
-        postings = words.groupBy("term", key, "length").agg(F.count("*").alias("tf")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        postings.repartition("part").sortWithinPartitions("part", "term", key).write.partitionBy("part").parquet(f"{path}/postings")
+        """A text's words are counted within its row.  Each part is written by as many tasks as its words need, each sorting its own file."""
         corpus_stats(docs, text).withColumn("parts", F.lit(parts)).write.parquet(f"{path}/stats")
+        known = docs.sparkSession.read.parquet(f"{path}/stats").first()
+        slices = max(1, min(-(-int(known.n_docs * known.avg_len) // (parts * TASK_WORDS)), WRITERS // parts))
+        some = docs.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("ts"))
+        # The generators keep the optimizer from repeating the expressions for every word.
+        ordered = some.select(F.col(key), F.explode(F.array(F.sort_array("ts"))).alias("ts")).where(F.size("ts") > 0)
+        n = F.size("ts")
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+        runs = ordered.select(key, "ts", F.explode(F.array(first)).alias("first")).select(key, "ts", "first", F.posexplode("first").alias("at", "start"))
+        tf = F.coalesce(F.get("first", F.col("at") + 1), n) - F.col("start")
+        postings = runs.select(F.get("ts", "start").alias("term"), key, n.alias("length"), tf.cast("bigint").alias("tf")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        task = F.col("part") * slices + F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+        postings.repartitionById(parts * slices, task).sortWithinPartitions("part", "term", key).write.partitionBy("part").parquet(f"{path}/postings")
 
     @staticmethod
     def open(spark, path: str) -> TextIndex:
@@ -98,7 +110,7 @@ class TextIndex:
         spark = self.postings.sparkSession
         wanted = spark.createDataFrame(list(words.items()), "term string, qtf bigint")
         parts = [r[0] for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")).distinct().collect()]
-        hits = self.postings.where(F.col("part").isin(parts) & F.col("term").isin(list(words)))
+        hits = self.postings.where(F.col("part").isin(parts) & F.col("term").isin(list(words))).groupBy("term", key, "length").agg(F.sum("tf").alias("tf"))
         spread = F.sum("tf") if variant == "reference" else F.count("*")
         common = hits.groupBy("term").agg(spread.cast("double").alias("spread"))
         joined = hits.join(F.broadcast(wanted), "term").join(F.broadcast(common), "term").crossJoin(F.broadcast(self.stats))
