@@ -26,7 +26,7 @@ from .stream import matrix, nearest_of_blocks, unit
 #: Tables of fewer rows are searched exactly.
 EXACT_BELOW = 100_000
 #: Queries that a task holds at most.
-BLOCK = 20_000
+BLOCK = 60_000
 
 
 def _cluster(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
